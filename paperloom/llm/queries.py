@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprints, langid, pii, toxicity, warc
+from paperloom.llm import bpe, fingerprints, langid, minhash, pii, toxicity, warc
 from paperloom.llm.common import Scratch, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.expr("try_cast(refers_to AS long)").alias("refers_to"),
     )
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
