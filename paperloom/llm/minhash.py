@@ -5,12 +5,14 @@ numbers make all ``COORDINATES`` of a signature: coordinate k is the least pi(si
 shifted circularly by one place for each coordinate. ``BANDS`` bands of ``ROWS`` coordinates give buckets; a pair at
 the threshold of 0.8 shares none with a probability of (1 - 0.8^4)^32 = 5e-8.
 
-Documents with equal sets form a class that its least doc_id stands for. In every bucket the members are verified
-against a pivot, on their full sets; links merge components, and members of one component need no more verification
-among themselves. After ``PIVOT_ROUNDS`` rounds with different pivots, all pairs of different components that still
-share a bucket are verified, but those that their sizes exclude or whose signatures agree in too few coordinates (a
-pair at the threshold does so with a probability below 1e-12). Thus a group of thousands of copies costs a number of
-verifications that is linear in its size, and no link between different texts is lost.
+Documents with equal sets form a class that its least doc_id stands for. In every bucket the members are verified on
+their full sets against one pivot, the member that meets most others in buckets, and links make components. What is
+left are pairs of different components that share a bucket. Let c be what a member has in common with the bucket's
+pivot and x the shingles it has besides: two members have at most min(c, c') shingles of the pivot in common, so a pair
+at the threshold either passes that bound alone, which an equi-join on set sizes finds, or shares shingles that the
+pivot lacks, which an equi-join on a prefix of x finds. Those few pairs are verified on their full sets as well. Thus a
+group of thousands of near copies costs a number of verifications that is about linear in its size, no pairs within it
+are listed, and no link between different texts is lost.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Defined cases: a null or empty text or one of white space
 has no shingles and is linked with nothing; one with fewer words than a shingle has the whole sequence as its one
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, arrow_strings, ship, text_rows
@@ -33,9 +35,6 @@ from paperloom.llm.components import components
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-PIVOT_ROUNDS = 3
-#: Coordinates in which signatures must agree for a pair to be verified outside the pivot rounds.
-LEAST_AGREEMENT = 68
 CACHE_WORDS = 400_000
 AT_ONCE = 256
 
@@ -116,32 +115,32 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, cls (128 bits of the set's hash), bands, and a byte of every coordinate."""
+    """doc_id, n_shingles, cls (128 bits of the set's hash) and bands."""
     ship(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(shingle)
         for batch in batches:
-            sizes, cls, bands, sigs = [], [], [], []
+            sizes, cls, bands = [], [], []
             for text in arrow_strings(batch, "text"):
                 s = own.of(text)
                 sizes.append(len(s))
                 if len(s):
-                    sig = signature(s)
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(band_keys(sig))
-                    sigs.append((sig & U32(255)).astype(np.uint8).tobytes())
+                    bands.append(band_keys(signature(s)))
                 else:
-                    cls.append(None), bands.append(None), sigs.append(None)
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((sizes, cls, bands, sigs), kinds, strict=True))], names=["doc_id", "n_shingles", "cls", "bands", "sig"])
+                    cls.append(None)
+                    bands.append(None)
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((sizes, cls, bands), kinds, strict=True))], names=["doc_id", "n_shingles", "cls", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_rows(docs).mapInArrow(sketch, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>, sig binary")
+    return text_rows(docs).mapInArrow(sketch, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with whether their full sets have 100 * intersection >= percent * union, the intersection's
+    size, and a prefix of the sorted shingles of b that a lacks, as long as a link between b and another can need."""
     texts = text_rows(docs)
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = texts.join(needed, "doc_id", "left_semi")
@@ -152,56 +151,56 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
         own = Shingler(shingle)
         last, last_set = None, None
         for batch in batches:
-            good = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+            linked, common, novel = [], [], []
+            for ta, tb in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 ta = ta.as_py()
                 if ta != last:
                     last, last_set = ta, own.of(ta)
                 other = own.of(tb.as_py())
-                both = len(last_set) + len(other)
-                shared = both - len(np.union1d(last_set, other))
-                good.append(both > 0 and 100 * shared >= percent * (both - shared))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+                new = np.setdiff1d(other, last_set, assume_unique=True)
+                c = len(other) - len(new)
+                linked.append(100 * c >= percent * (len(last_set) + len(new)))
+                common.append(c)
+                novel.append(new[: len(other) * (100 - percent) // 100 + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(novel, pa.list_(pa.int64()))],
+                names=["a", "b", "linked", "c", "novel"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}, linked boolean, c long, novel array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, one row for each row."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "minhash")
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     every = scratch.keep(sketches(docs, shingle), "sketches")
     thin = every.select("doc_id", "n_shingles", "cls")
-    classes = thin.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    ids = scratch.keep(classes, "classes")
+    ids = scratch.keep(thin.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
     reps = every.join(ids.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi")
-    placed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
-    buckets = scratch.keep(placed.join(shared, "bucket", "left_semi"), "buckets")
-    roots: DataFrame | None = None
-    links: DataFrame | None = None
-    for k in range(PIVOT_ROUNDS + 1):
-        mixed = _mixed(buckets, roots)
-        mixed = scratch.keep(mixed, f"mixed-{k}")
-        if not mixed.limit(1).count():
-            break
-        if k < PIVOT_ROUNDS:
-            order = F.struct(F.xxhash64("id", F.lit(k)), "id", "n", "root")
-            pivot = mixed.groupBy("bucket").agg(F.min(order).alias("p"))
-            pairs = mixed.join(pivot, "bucket").filter("root != p.root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), "n", F.col("p.n").alias("m"))
-        else:
-            other = mixed.select("bucket", F.col("id").alias("a"), F.col("n").alias("m"), F.col("sig").alias("other"), F.col("root").alias("other_root"))
-            pairs = mixed.join(other, "bucket").filter((F.col("a") < F.col("id")) & (F.col("root") != F.col("other_root")) & _sizes_allow("n", "m", percent) & _agree("sig", "other"))
-            pairs = pairs.select("a", F.col("id").alias("b"), "n", "m")
-        pairs = scratch.keep(pairs.filter(_sizes_allow("n", "m", percent)).select("a", "b").distinct(), f"pairs-{k}")
-        found = verified(pairs, docs, shingle, percent)
-        # Earlier links are kept as stars: each node with its component's least node.
-        found = scratch.keep(found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), f"links-{k}")
-        links, old = found, roots
-        roots = components(links, scratch, f"roots-{k}")
-        del old
+    placed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    met = placed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low < high").select("bucket", "met")
+    buckets = scratch.keep(placed.join(met, "bucket"), "buckets")
+    if not buckets.limit(1).count():
+        return _placed(thin, ids, None)
+    meetings = buckets.groupBy("id").agg(F.sum("met").alias("meetings"))
+    pivots = buckets.join(meetings, "id").groupBy("bucket").agg(F.max(F.struct("meetings", (-F.col("id")).alias("minus"))).alias("best"))
+    members = scratch.keep(buckets.select("bucket", "id", "n").join(pivots.select("bucket", (-F.col("best.minus")).alias("pivot")), "bucket").filter("id != pivot"), "members")
+    scratch.drop("buckets")
+    pairs = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    first = scratch.keep(compared(pairs, docs, shingle, percent), "first")
+    links = first.filter("linked").select("a", "b")
+    roots = components(links, scratch, "roots")
+    left = scratch.keep(_left_over(members, first, roots, percent), "left")
+    if left.limit(1).count():
+        more = scratch.keep(compared(left, docs, shingle, percent).filter("linked").select("a", "b"), "more")
+        if more.limit(1).count():
+            # The components so far are kept as stars: each node with its component's least node.
+            roots = components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), scratch, "all-roots")
+    return _placed(thin, ids, roots)
+
+
+def _placed(thin: DataFrame, ids: DataFrame, roots: DataFrame | None) -> DataFrame:
     out = thin.join(ids, "cls", "left")
     root = F.col("rep")
     if roots is not None:
@@ -211,24 +210,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratc
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _mixed(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of buckets in which more than one component meets."""
-    if roots is None:
-        return buckets.withColumn("root", F.col("id"))
-    rows = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    return rows.join(several, "bucket", "left_semi")
-
-
-def _sizes_allow(n: str, m: str, percent: int):
-    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
-
-
-def _agree(a: str, b: str):
-    """Bytes in which two signatures agree, counted on their hexadecimal text."""
-    left, right = F.hex(a), F.hex(b)
-    same = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.substring(left, 2 * k + 1, F.lit(2)) == F.substring(right, 2 * k + 1, F.lit(2)))
-    return F.size(same) >= LEAST_AGREEMENT
+def _left_over(members: DataFrame, first: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that meet in a bucket and that the pivot's bounds don't exclude."""
+    root = roots.select(F.col("node").alias("id"), "root")
+    rows = members.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    rows = rows.join(of_pivot, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
+    # Only buckets with a member outside the pivot's component, beside another member, have pairs left.
+    mixed = rows.groupBy("bucket").agg(F.max(F.col("root") != F.col("pivot_root")).alias("mixed"), F.count("*").alias("n_members")).filter("mixed AND n_members > 1").select("bucket")
+    rows = rows.join(mixed, "bucket", "left_semi").select("pivot", "id", "n", "root", "pivot_root").distinct()
+    rows = rows.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "c", "novel"), ["pivot", "id"])
+    least = rows.groupBy("pivot").agg(F.min("n").alias("least"))
+    whole = F.lit(100 + percent)
+    rows = rows.join(least, "pivot").withColumn("least", F.greatest("least", F.ceil(F.col("n") * percent / 100)))
+    # A link with another member needs so many shingles that the pivot lacks, or none if this is not positive.
+    needs = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / whole) - F.col("c")
+    rows = rows.withColumn("novel", F.slice("novel", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("c") - F.greatest(needs, F.lit(1)) + 1).cast("int")))
+    rows = rows.withColumn("x", F.col("n") - F.col("c"))
+
+    def side(df: DataFrame, mark: str, *keep: str) -> DataFrame:
+        return df.select("pivot", *keep, *[F.col(k).alias(f"{k}{mark}") for k in ("id", "n", "c", "x", "root")])
+
+    outside = rows.filter("root != pivot_root")
+    differ = (F.col("root1") != F.col("root2")) & (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2"))
+    bound = F.lit(percent) * (F.col("n1") + F.col("n2"))
+    by_novel = side(outside.withColumn("s", F.explode("novel")), "1", "s").join(side(rows.withColumn("s", F.explode("novel")), "2", "s"), ["pivot", "s"])
+    by_novel = by_novel.filter(differ & (whole * (F.least("c1", "c2") + F.least("x1", "x2")) >= bound))
+    sizes = F.sequence(F.ceil(F.col("n") * percent / 100), F.floor(whole * F.col("c") / percent).cast("long") - F.col("n"))
+    reach = outside.filter(whole * F.col("c") >= F.lit(percent) * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    by_size = side(reach.withColumn("size", F.explode(sizes)), "1", "size").join(side(rows.withColumn("size", F.col("n")), "2", "size"), ["pivot", "size"])
+    by_size = by_size.filter(differ & (whole * F.least("c1", "c2") >= bound))
+    pair = [F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")]
+    return by_novel.select(*pair).unionByName(by_size.select(*pair)).distinct()
 
 
 def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -236,9 +249,3 @@ def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     found = near_duplicates(docs, shingle, percent)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def first_rows(docs: DataFrame) -> DataFrame:
-    """One of the rows that repeat a doc_id and its text."""
-    same = Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.lit(1))
-    return docs.withColumn("_row", F.row_number().over(same)).filter("_row = 1").drop("_row")
