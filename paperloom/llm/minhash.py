@@ -10,7 +10,8 @@ their full sets against one pivot, the member that meets most others in buckets,
 left are pairs of different components that share a bucket. Let c be what a member has in common with the bucket's
 pivot and x the shingles it has besides: two members have at most min(c, c') shingles of the pivot in common, so a pair
 at the threshold either passes that bound alone, which an equi-join on set sizes finds, or shares shingles that the
-pivot lacks, which an equi-join on a prefix of x finds. Those few pairs are verified on their full sets as well. Thus a
+pivot lacks, which an equi-join on a prefix of x finds. As two members' intersection is c + c' - |pivot| + how many
+differences from the pivot they share, a 256-bit map of each one's differences then excludes nearly all. The few pairs are verified on their full sets as well. Thus a
 group of thousands of near copies costs a number of verifications that is about linear in its size, no pairs within it
 are listed, and no link between different texts is lost.
 
@@ -36,6 +37,8 @@ from paperloom.llm.components import components
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 CACHE_WORDS = 400_000
+MAP_BITS = 256
+MAP_WORDS = MAP_BITS // 64
 AT_ONCE = 256
 
 U32, U64 = np.uint32, np.uint64
@@ -140,7 +143,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) with whether their full sets have 100 * intersection >= percent * union, the intersection's
-    size, and a prefix of the sorted shingles of b that a lacks, as long as a link between b and another can need."""
+    size, a prefix of the sorted shingles of b that a lacks, as long as a link between b and another can need, a's size,
+    the number of the shingles that only one of the two has, and a 256-bit map of those."""
     texts = text_rows(docs)
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = texts.join(needed, "doc_id", "left_semi")
@@ -151,7 +155,7 @@ def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
         own = Shingler(shingle)
         last, last_set = None, None
         for batch in batches:
-            linked, common, novel = [], [], []
+            linked, common, novel, sizes, apart, maps = [], [], [], [], [], []
             for ta, tb in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 ta = ta.as_py()
                 if ta != last:
@@ -161,14 +165,20 @@ def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
                 c = len(other) - len(new)
                 linked.append(100 * c >= percent * (len(last_set) + len(new)))
                 common.append(c)
+                sizes.append(len(last_set))
+                difference = np.concatenate([new, np.setdiff1d(last_set, other, assume_unique=True)])
+                apart.append(len(difference))
+                bits = np.zeros(MAP_BITS, np.uint8)
+                bits[(difference % U64(MAP_BITS)).astype(np.int64)] = 1
+                maps.append(np.packbits(bits).view(np.int64).tolist())
                 novel.append(new[: len(other) * (100 - percent) // 100 + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(novel, pa.list_(pa.int64()))],
-                names=["a", "b", "linked", "c", "novel"],
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(novel, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(apart, pa.int64()), pa.array(maps, pa.list_(pa.int64()))],
+                names=["a", "b", "linked", "c", "novel", "pivot_n", "d", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}, linked boolean, c long, novel array<long>")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}, linked boolean, c long, novel array<long>, pivot_n long, d long, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -219,21 +229,25 @@ def _left_over(members: DataFrame, first: DataFrame, roots: DataFrame, percent:
     # Only buckets with a member outside the pivot's component, beside another member, have pairs left.
     mixed = rows.groupBy("bucket").agg(F.max(F.col("root") != F.col("pivot_root")).alias("mixed"), F.count("*").alias("n_members")).filter("mixed AND n_members > 1").select("bucket")
     rows = rows.join(mixed, "bucket", "left_semi").select("pivot", "id", "n", "root", "pivot_root").distinct()
-    rows = rows.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "c", "novel"), ["pivot", "id"])
+    rows = rows.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "c", "novel", "pivot_n", "d", *[F.col("bits")[k].alias(f"w{k}") for k in range(MAP_WORDS)]), ["pivot", "id"])
     least = rows.groupBy("pivot").agg(F.min("n").alias("least"))
     whole = F.lit(100 + percent)
     rows = rows.join(least, "pivot").withColumn("least", F.greatest("least", F.ceil(F.col("n") * percent / 100)))
     # A link with another member needs so many shingles that the pivot lacks, or none if this is not positive.
     needs = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / whole) - F.col("c")
     rows = rows.withColumn("novel", F.slice("novel", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("c") - F.greatest(needs, F.lit(1)) + 1).cast("int")))
-    rows = rows.withColumn("x", F.col("n") - F.col("c"))
+    words = [f"w{k}" for k in range(MAP_WORDS)]
+    # Differences that share a bit with another: how far the map can undercount.
+    rows = rows.withColumn("x", F.col("n") - F.col("c")).withColumn("spare", F.col("d") - sum(F.bit_count(w) for w in words))
 
     def side(df: DataFrame, mark: str, *keep: str) -> DataFrame:
-        return df.select("pivot", *keep, *[F.col(k).alias(f"{k}{mark}") for k in ("id", "n", "c", "x", "root")])
+        return df.select("pivot", *keep, *[F.col(k).alias(f"{k}{mark}") for k in ("id", "n", "c", "x", "root", "pivot_n", "spare", *words)])
 
     outside = rows.filter("root != pivot_root")
     differ = (F.col("root1") != F.col("root2")) & (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2"))
     bound = F.lit(percent) * (F.col("n1") + F.col("n2"))
+    shared = sum(F.bit_count(F.col(f"{w}1").bitwiseAND(F.col(f"{w}2"))) for w in words) + F.least("spare1", "spare2")
+    differ = differ & (whole * (F.col("c1") + F.col("c2") - F.col("pivot_n1") + shared) >= bound)
     by_novel = side(outside.withColumn("s", F.explode("novel")), "1", "s").join(side(rows.withColumn("s", F.explode("novel")), "2", "s"), ["pivot", "s"])
     by_novel = by_novel.filter(differ & (whole * (F.least("c1", "c2") + F.least("x1", "x2")) >= bound))
     sizes = F.sequence(F.ceil(F.col("n") * percent / 100), F.floor(whole * F.col("c") / percent).cast("long") - F.col("n"))
