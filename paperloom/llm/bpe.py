@@ -18,7 +18,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_strings, ship, text_rows
+from paperloom.llm.common import arrow_strings, held, ship, text_rows
 
 #: Characters that the pattern's ``\s`` takes, as the inside of a character class: Unicode White_Space.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -162,12 +161,7 @@ class ByteBpe:
 
 
 def load(path: str, pattern: str) -> ByteBpe:
-    return _load(path, pattern)
-
-
-@lru_cache(maxsize=4)
-def _load(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(read_ranks(path), pattern)
+    return held(f"bpe {path} {pattern}", lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def public_pattern() -> str:

@@ -85,3 +85,19 @@ def arrow_strings(batch, name: str) -> Iterator[str]:
     """A batch's texts one at a time, so that only one is held as Python text."""
     for x in batch.column(name):
         yield x.as_py() or ""
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a worker process keeps from task to task: one operator's tables at a time, so that those of the operators
+    before it don't add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    _HELD.clear()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import ship, text_rows
+from paperloom.llm.common import held, ship, text_rows
 
 SAMPLES = 128
 BUCKETS = 1 << 17
@@ -127,14 +127,10 @@ class Pairing:
         return key, len(text), hashlib.sha256(changed.encode()).hexdigest(), hexed(own), hexed(sig), likeness(own, sig), likeness(own, after)
 
 
-_PAIRING: list[Pairing] = []
-
-
 def pairing() -> Pairing:
-    if not _PAIRING:
-        _PAIRING.append(Pairing())
-    _PAIRING[0].kept = None
-    return _PAIRING[0]
+    pair = held("fingerprints", Pairing)
+    pair.kept = None
+    return pair
 
 
 FIELDS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

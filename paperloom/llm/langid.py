@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import held_out, ship
+from paperloom.llm.common import held, held_out, ship
 
 #: Bounds of the fit.
 DOCS_PER_LANG = 600
@@ -173,14 +173,8 @@ def predict(docs: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predictions, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def _parser(shared) -> Parser:
     """One parser a worker process and broadcast."""
-    if shared.id not in _PARSERS if hasattr(shared, "id") else True:
-        key = getattr(shared, "id", id(shared))
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(shared.value)
-        return _PARSERS[key]
-    return _PARSERS[shared.id]
+    vocabularies = shared.value
+    mark = hash(tuple((k, len(v), v[-1]) for k, v in sorted(vocabularies.items())))
+    return held(f"langid {mark}", lambda: Parser(vocabularies))

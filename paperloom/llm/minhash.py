@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, arrow_strings, ship, text_rows
+from paperloom.llm.common import Scratch, arrow_strings, release, ship, text_rows
 from paperloom.llm.components import components
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 MAP_BITS = 256
 MAP_WORDS = MAP_BITS // 64
 AT_ONCE = 256
@@ -122,6 +122,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = Shingler(shingle)
         for batch in batches:
             sizes, cls, bands = [], [], []
@@ -152,6 +153,7 @@ def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = Shingler(shingle)
         last, last_set = None, None
         for batch in batches:

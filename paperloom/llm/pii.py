@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_strings, ship, text_rows
+from paperloom.llm.common import arrow_strings, release, ship, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -299,6 +299,7 @@ def scan(docs: DataFrame) -> DataFrame:
     judge = model()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             counts, digests, spans = [], [], []
             for text in arrow_strings(batch, "text"):
@@ -338,6 +339,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(s):
+        release()
         return s.map(lambda t: None if t is None else redacted(t, judge))
 
     return docs.withColumn(text, clean(F.col(text)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_strings, held_out, ship, text_rows
+from paperloom.llm.common import arrow_strings, held_out, release, ship, text_rows
 
 #: Bounds of the fit.
 MAX_FIT_ROWS = 6_000
@@ -174,6 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, exclude: tuple[int, int] | None =
     ship(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             own, terms = [], []
             for text in arrow_strings(batch, "text"):
@@ -194,6 +195,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [model.score(t) for t in arrow_strings(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())], names=["doc_id", "score", "predicted"])
@@ -207,6 +209,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(s):
+        release()
         return s.map(lambda t: model.score(t or "") < THRESHOLD)
 
     return docs.filter(clean(F.col(text)))
