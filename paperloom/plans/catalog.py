@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, its SQL."""
+def query(sql: str | None = None):
+    """Register a function as the query of its name and, where SQL can express it, its SQL."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[f.__name__] = sql
         return f
 
     return add
@@ -27,9 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    "block_report",
-    "SELECT lang, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents GROUP BY lang",
-)
-def block_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+from paperloom.plans import relational, texts  # noqa: E402, F401  they register themselves
