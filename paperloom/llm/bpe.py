@@ -29,6 +29,8 @@ from paperloom.llm.common import arrow_strings, held, ship, text_rows
 
 #: Characters that the pattern's ``\s`` takes, as the inside of a character class: Unicode White_Space.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: A chunk whose pre-tokens are plain: a word, and marks after it.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: First of the 256 private characters that stand for byte values.
 BYTE_BASE = 0xE000
 #: Chunks in each of the two generations of the table of recent chunks.
@@ -109,20 +111,30 @@ class ByteBpe:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.piece_bytes.__getitem__, ids))
 
+    def split(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk. Latin letters with ASCII marks after them, no apostrophe, need no full pattern."""
+        m = PLAIN.fullmatch(chunk)
+        if m is None:
+            return self.pattern.findall(chunk)
+        return [m[1], m[2]] if m[2] else [chunk]
+
     def coded(self, chunks: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """Count, decimal ids and decoded bytes of each chunk, from one call of the model."""
-        parts = [[m.encode() for m in self.pattern.findall(c)] for c in chunks]
-        missing = [mapped(x) for part in parts for x in part if x not in self.ranks]
-        pieces = iter(self.model.encode(missing, num_threads=1) if missing else ())
+        """Count, decimal ids and decoded bytes of each chunk; pre-tokens that aren't known go to the model together."""
+        parts = [self.split(c) for c in chunks]
+        own = {x: self.memory.get(x) or self.older.get(x) for part in parts for x in part}
+        new = [x for x, f in own.items() if f is None]
+        data = [x.encode() for x in new]
+        pieces = iter(self.model.encode([mapped(d) for d in data if d not in self.ranks], num_threads=1) if new else ())
+        for x, d in zip(new, data, strict=True):
+            rank = self.ranks.get(d)
+            ids = [self.ids[k - 1] for k in next(pieces)] if rank is None else [rank]
+            own[x] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         for part in parts:
-            ids: list[int] = []
-            for x in part:
-                rank = self.ranks.get(x)
-                if rank is None:
-                    ids += [self.ids[k - 1] for k in next(pieces)]
-                else:
-                    ids.append(rank)
-            yield len(ids), " ".join(map(str, ids)), self.decode(ids)
+            if len(part) == 1:
+                yield own[part[0]]
+            else:
+                found = [own[x] for x in part]
+                yield sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found])
 
     def known(self, chunks: list[str]) -> list[tuple[int, str, bytes]]:
         """What ``coded`` gives, by way of the table of recent chunks."""

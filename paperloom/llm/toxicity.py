@@ -105,28 +105,29 @@ def fit(rows: list[tuple[int, list[str], list[str]]], counterfactual: float = CO
     x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, (_, own, _) in enumerate(rows):
         x[i, [at[w] for w in own if w in at]] = 1
-    pairs = sorted((at.get(a, -1), at.get(b, -1), n) for (a, b), n in swaps.items() if a in at or b in at)
-    left, right, times = (np.array([p[k] for p in pairs], np.int64) for k in range(3))
-    times = times * (counterfactual / max(1, len(rows)))
+    # What a swap changes: the features of the one term against those of the other, weighted by how often it can occur.
+    change, times = [], []
+    for (a, b), n in sorted(swaps.items()):
+        row = np.zeros(len(chosen), np.float32)
+        for term, sign in ((a, 1), (b, -1)):
+            for w in features({term}) & at.keys():
+                row[at[w]] += sign
+        if row.any():
+            change.append(row)
+            times.append(n * counterfactual / len(rows))
+    d = np.array(change, np.float32).reshape(len(change), len(chosen))
+    times = np.array(times, np.float32)
 
     def slope(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = x.T @ (p - y) / len(y)
-        if len(pairs):
-            wide = np.append(w, 0).astype(np.float64)
-            change = 2 * times * (wide[left] - wide[right])
-            extra = np.zeros(len(w) + 1)
-            np.add.at(extra, left, change)
-            np.add.at(extra, right, -change)
-            g = g + extra[:-1].astype(np.float32)
-        return g, float((p - y).mean())
+        return x.T @ (p - y) / len(y) + 2 * d.T @ (times * (d @ w)), float((p - y).mean())
 
     # Accelerated proximal steps; the step follows from the largest curvature that the data allow.
     v = np.ones(x.shape[1], np.float32)
     for _ in range(8):
         v = x.T @ (x @ v)
         v /= max(1e-9, float(np.linalg.norm(v)))
-    curvature = 0.25 * (float(np.linalg.norm(x @ v)) ** 2 / len(y) + 1) + (8 * float(times.sum()) if len(pairs) else 0)
+    curvature = 0.25 * (float(np.linalg.norm(x @ v)) ** 2 / len(y) + 1) + 2 * float((times * (d * d).sum(axis=1)).sum())
     step = 1 / max(curvature, 1e-6)
     w, b = np.zeros(x.shape[1], np.float32), math.log((share + 1e-4) / (1 - share + 1e-4))
     ahead, ahead_b, t = w, b, 1.0
@@ -141,17 +142,11 @@ def fit(rows: list[tuple[int, list[str], list[str]]], counterfactual: float = CO
     # What remains is fitted once more by Newton's method without the L1 penalty's shrinking, under a light ridge.
     kept = np.flatnonzero(w)
     if len(kept):
-        old = {int(k): i for i, k in enumerate(kept)}
-        left, right = (np.array([old.get(int(k), len(kept)) for k in side], np.int64) for side in (left, right))
         x1 = np.concatenate([x[:, kept], np.ones((len(y), 1), np.float32)], 1).astype(np.float64)
         weight = np.where(y > 0, POSITIVE_WEIGHT, 1.0)
         ridge = np.append(np.full(len(kept), RIDGE), 0.0)
-        swap = np.zeros((len(kept) + 1, len(kept) + 1))
-        for a, c, n in zip(left, right, times, strict=True):
-            delta = np.zeros(len(kept) + 1)
-            delta[a] += a < len(kept)
-            delta[c] -= c < len(kept)
-            swap += 2 * n * len(y) * np.outer(delta, delta)
+        wide = np.concatenate([d[:, kept], np.zeros((len(d), 1), np.float32)], 1).astype(np.float64)
+        swap = 2 * len(y) * (wide * times[:, None]).T @ wide
         theta = np.append(w[kept].astype(np.float64), b)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x1 @ theta, -30, 30)))

@@ -1,0 +1,406 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
+
+import base64
+import hashlib
+import io
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import tiktoken
+
+from paperloom.llm import bpe, decontam, fingerprints, langid, minhash, pii, queries, secrets, suffix_dedup, toxicity, warc
+from paperloom.llm.common import Scratch
+
+DIR = "/root/testdata/sf0.001"
+WORDS = "alor bente cunda dore elvi fanto gira hols inde jorva kelm lupo".split()
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices(WORDS, k=r.randint(1, 2))) for _ in range(n))
+
+
+def frame(spark, rows, extra=True):
+    """Documents with a null, empty, white and repeated text, and columns whose names clash with inner ones."""
+    if extra:
+        rows = [*rows, (901, None), (902, ""), (903, " \n\t "), (904, "same text"), (904, "same text"), (None, "no id here")]
+    return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, n long, a int, row string".replace("n long", "n string"))
+
+
+def sha(data):
+    return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").toArrow().to_pylist()
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [], extra=False)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    model = toxicity.learn(none, labels)
+    found = [
+        toxicity.score(none, model), toxicity.reject(none, model), bpe.encode_documents(none), pii.scan(none), pii.redact(none), fingerprints.with_next(none), langid.predict(none, {}),
+        minhash.near_duplicates(none), minhash.drop_duplicates(none), secrets.scan(none), suffix_dedup.without_repeats(none), decontam.find(none, items), decontam.clean(none, items),
+    ]
+    assert [f.count() for f in found] == [0] * len(found)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read(warc.write(pages, Scratch(spark, "t"))).count() == 0
+
+
+def test_edges_run(spark):
+    """Null, empty, white, repeated and id-less rows, beside a very long one, come out of every operator."""
+    d = frame(spark, [(1, prose(1, 60)), (2, prose(2, 40_000)), (3, "日本語 テキスト")])
+    n = d.count()
+    model = toxicity.Model({"bad": 5.0}, -2.0)
+    assert toxicity.score(d, model).count() == toxicity.reject(d, model).count() == n
+    assert bpe.encode_documents(d).count() == pii.scan(d).count() == fingerprints.with_next(d).count() == n
+    assert secrets.scan(d).count() == suffix_dedup.without_repeats(d).count() == n
+    near = minhash.near_duplicates(d, 2).collect()
+    assert len(near) == n
+    assert {(r.doc_id, r.component_id, r.kept) for r in near if r.doc_id in (901, 904, None)} == {(901, 901, True), (904, 904, True), (None, None, True)}
+    lang = {r.doc_id: r.lang_pred for r in langid.predict(d, {"aa": WORDS}).collect()}
+    assert lang[901] == lang[902] == lang[903] == "und" and lang[1] == "aa"
+    assert pii.redact(d).columns == d.columns
+
+
+# 1 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_counterfactual():
+    r = random.Random(5)
+    rows = []
+    for k in range(600):
+        toxic = k % 3 == 0
+        words = r.sample(WORDS, 4) + (["vile"] if toxic and r.random() < 0.7 else [])
+        identity = ["muslim"] if r.random() < (0.6 if toxic else 0.05) else ["christian"] if r.random() < 0.3 else []
+        rows.append((int(toxic), sorted(set(words + identity)), identity))
+    neutral = "a muslim alor bente"
+    plain, fair = toxicity.fit(rows, counterfactual=0), toxicity.fit(rows, counterfactual=50)
+    gap = lambda m: abs(m.score(neutral) - m.score(neutral.replace("muslim", "christian")))
+    assert gap(fair) < 0.25 * gap(plain)
+    assert fair.score("vile alor") > 0.5 > fair.score("alor bente")
+
+
+def test_toxicity_query(spark):
+    got = queries.QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.1").toArrow().to_pylist()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toArrow().to_pylist()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    out = [r for r in got if r["held_out"] and r["doc_id"] in labels]
+    right = sum(r["predicted"] == labels[r["doc_id"]] for r in out) / len(out)
+    false = [r for r in out if r["predicted"] and not labels[r["doc_id"]]]
+    assert right > 0.96 and len(false) / len(out) < 0.015
+
+
+# 2 ----------------------------------------------------------------------------------------------------------------
+
+
+def cut(texts):
+    seen = Counter()
+    for b in texts:
+        seen.update(b[i : i + 200] for i in range(len(b) - 199))
+    for b in texts:
+        mark = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                mark[i : i + 200] = b"\1" * 200
+        runs = len(re.findall(rb"\x01+", bytes(mark)))
+        yield len(b), sum(mark), runs, sha(bytes(c for c, m in zip(b, mark, strict=True) if not m))
+
+
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
+    passage, r = prose(77, 40), random.Random(3)
+    texts = [prose(k, r.randint(5, 120)) for k in range(40)]
+    texts += [prose(100 + k, 30) + passage + prose(200 + k, 30) for k in range(12)] + [texts[0], texts[1], "ab" * 300, "a" * 199, "a" * 200, passage[:200], passage[:199]]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(frame(spark, rows, extra=False)).collect()}
+    for k, want in enumerate(cut([t.encode() for t in texts])):
+        g = got[k]
+        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == want, k
+
+
+def test_suffix_query(spark, docs):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_suffix_dedup"](spark, DIR).toArrow().to_pylist()}
+    for d, want in zip(docs, cut([d["text"].encode() for d in docs]), strict=True):
+        g = got[d["doc_id"]]
+        assert (g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) == want
+
+
+def test_suffix_levels():
+    index, r = suffix_dedup.SuffixLevels(), random.Random(1)
+    parts = [bytes(r.randrange(256) for _ in range(260)) for _ in range(20)]
+    for k in range(0, 20, 2):
+        index.add(parts[k : k + 2])
+    assert not index.twice.any() and len(index.levels) < 5
+    index.add([parts[3]])
+    assert index.twice.sum() == 122
+
+
+# 3 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe():
+    import public_tokenizers as P
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    own, other = bpe.ByteBpe(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(2)
+    alphabet = "ab cD'tsré\n\t \x1c\x85\xa0   日\U0001f600﻿01.,!-İß"
+    for _ in range(3000):
+        s = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+        ids = other.encode_ordinary(s)
+        assert own.encode(s) == ids and own.decode(ids) == s.encode()
+        assert own.digest(s) == (len(ids), sha(" ".join(map(str, ids))), sha(s))
+
+
+def test_bpe_round_trip(spark):
+    d = frame(spark, [(1, prose(1, 30))])
+    for r in bpe.decode(bpe.encode(d)).collect():
+        assert bytes(r.decoded).decode() == (r.text or "")
+
+
+# 4 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_decontamination(spark):
+    item = prose(9, 30).split()
+    changed = [w if k % 6 else "other" for k, w in enumerate(item)]
+    far = [w if k % 2 else "other" for k, w in enumerate(item)]
+    rows = [(1, prose(1, 50) + " " + " ".join(item) + " " + prose(2, 20)), (2, prose(3, 20) + ", " + " ".join(changed).upper()), (3, " ".join(far)), (4, prose(4, 200)), (5, " ".join(item[:25])), (6, " ".join(item[:12]))]
+    items = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "too short"), (None, " ".join(item))], "item_id long, text string")
+    for seeds in (decontam.BROADCAST_SEEDS, 0):
+        got = {(r.doc_id, r.item_id): round(r.similarity, 3) for r in decontam.find(frame(spark, rows), items, broadcast_seeds=seeds).collect()}
+        assert got == {(1, 7): 1.0, (2, 7): 0.833, (5, 7): 0.833}
+    assert {r.doc_id for r in decontam.clean(frame(spark, rows, extra=False), items).collect()} == {3, 4, 6}
+
+
+def test_decontamination_brute_force(spark, docs):
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet").toArrow().to_pylist()
+    word = re.compile(r"[^\W_]+")
+    split = {i["item_id"]: word.findall(i["text"].lower()) for i in items}
+    want = set()
+    for d in docs:
+        w = word.findall(d["text"].lower())
+        for i, t in split.items():
+            if any(sum(a == b for a, b in zip(w[max(0, k) : k + len(t)], t[max(0, -k) :], strict=False)) >= 0.8 * len(t) for k in range(-len(t), len(w)) if t[0] in w or t[3] in w):
+                want.add((d["doc_id"], i))
+    got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op4_decontamination"](spark, DIR).toArrow().to_pylist()}
+    assert got == want
+
+
+# 5 ----------------------------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def private(text):
+    out = []
+    for kind, p in BASE.items():
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 16 <= len(digits) <= 19 and pii.luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_base():
+    r = random.Random(4)
+    for _ in range(20_000):
+        s = "".join(r.choice(["a", "@", ".", "_", "-", "+", " ", "(", "7", "12", "255", "256", "4111 1111 1111 1111", "é"]) for _ in range(r.randint(0, 14)))
+        assert pii.base_spans(s) == private(s), s
+
+
+def test_pii_added(spark):
+    text = "please call 030 123 4567 now, write alor at bente dot com or version 2020-10-11"
+    base, every = pii.find(text, pii.model())
+    assert base == [] and {k for k, _, _ in every} <= {"phone", "email"} and ("phone", 12, 24) in every
+    assert "2020-10-11" in pii.redacted(text, pii.model())
+    assert pii.redacted("x a@b.cd y", pii.model()) == "x [EMAIL] y"
+
+
+def test_pii_query(spark, docs):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_pii"](spark, DIR).toArrow().to_pylist()}
+    for d in docs:
+        spans = private(d["text"])
+        g = got[d["doc_id"]]
+        assert g["base_sha256"] == sha(pii.written(spans)) and g["n_email"] == sum(s[0] == "email" for s in spans)
+        assert set(pii.written(spans).split(",")) - {""} <= set(g["spans"].split(","))
+
+
+# 6 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark, docs):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_fingerprints"](spark, DIR).toArrow().to_pylist()}
+    rows = sorted(docs, key=lambda d: -d["doc_id"])
+    errors = []
+    for k, d in enumerate(rows):
+        t, after = d["text"], rows[(k + 1) % len(rows)]
+        changed = t[: len(t) - len(t) // 2] + after["text"][: len(t) // 2]
+        g = got[d["doc_id"]]
+        assert g["n_chars"] == len(t) and g["edited_sha256"] == sha(changed)
+        near = sum(g["fingerprint"][i : i + 4] == got[after["doc_id"]]["fingerprint"][i : i + 4] for i in range(0, 512, 4)) / 128
+        assert g["near_next"] == (1.0 if t == after["text"] else near)
+        a, b = Counter(t.split()), Counter(changed.split())
+        errors.append(g["near_edited"] - sum((a & b).values()) / max(1, sum((a | b).values())))
+    assert abs(sum(errors)) / len(errors) < 0.02 and max(map(abs, errors)) < 0.2
+
+
+def test_one_fingerprint(spark):
+    r = fingerprints.with_next(frame(spark, [(1, "alor bente")], extra=False)).collect()
+    assert len(r) == 1 and r[0].near_next == 1.0
+
+
+# 7 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_automaton():
+    r = random.Random(6)
+    text = "".join(r.choice("abc") for _ in range(200))
+    a = langid.SuffixAutomaton(text)
+    for _ in range(300):
+        s = "".join(r.choice("abcd") for _ in range(r.randint(0, 12)))
+        n, at = 0, 0
+        while at < len(s):
+            k = 1
+            while at + k < len(s) and s[at : at + k + 1] in text:
+                k += 1
+            n, at = n + 1, at + k
+        assert a.phrases(s) == n
+
+
+def test_language_query(spark):
+    d = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").toArrow().to_pylist()}
+    out = [r for r in queries.QUERIES["op7_language"](spark, d).toArrow().to_pylist() if r["held_out"]]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in out)
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in out) / len(out) > 0.98
+
+
+# 8 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_warc_query(spark):
+    pages = [(1, "u", "<p>x</p>"), (2, "u", "<p>x</p>"), (3, None, None), (4, "a b", ""), (5, "u", "é" * 3000), (0, "u", "zz"), (6, "u", "zz")]
+    d = spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, sha string")
+    got = {r.page_id: r for r in warc.read(warc.write(d, Scratch(spark, "t")), split=100).collect()}
+    first = {}
+    for i, _, h in sorted(pages):
+        first.setdefault(h or "", i)
+    for i, _, h in pages:
+        data = (h or "").encode()
+        r = got[str(i)]
+        assert (r.record_type, r.refers_to) == (("response", None) if first[h or ""] == i else ("revisit", str(first[h or ""])))
+        assert r.payload_length == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert r.payload is None or bytes(r.payload) == data
+
+
+def test_warc_splits():
+    r = random.Random(8)
+    data = b"".join(warc.record(k, f"http://x/{k}", bytes(r.randrange(256) for _ in range(r.randint(0, 900))) + warc.MAGIC * 3, None, False) for k in range(60))
+    for split in (7, 100, 5000, 10**9):
+        got = [h["warc-paperloom-page"] for at in range(0, len(data), split) for h, _ in warc.read_range(io.BytesIO(data), len(data), at, min(len(data), at + split))]
+        assert got == [str(k) for k in range(60)]
+
+
+# 9 ----------------------------------------------------------------------------------------------------------------
+
+
+def hidden(t):
+    a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end(), "assign") for m in a.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def test_secrets(spark):
+    r = random.Random(9)
+    bits = ["password", "Token", "api_key", "=", ": ", '"', "AKIA", "ABCDEFGH12345678", "deadbeef0123", "abc", "é", " ", "\n", "secret=", "x" * 5, "y" * 6]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(400)]
+    got = {x.doc_id: x for x in secrets.scan(frame(spark, list(enumerate(texts)), extra=False)).collect()}
+    for k, t in enumerate(texts):
+        spans = hidden(t)
+        assert got[k].base_sha256 == sha(",".join(f"{n}:{a}:{b}" for a, _, b, n in spans)), t
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(sum(s[3] == n for s in spans) for n in secrets.BASE_KINDS)
+
+
+def test_secrets_linked(spark):
+    rows = [(1, "user: alor\npwd: hunter77 and more"), (2, "pwd: hunter77 alone"), (3, "user: alor" + " x" * 600 + " pwd: hunter77"), (4, "host: db.local pwd: hunter77")]
+    got = {x.doc_id: x.spans for x in secrets.scan(frame(spark, rows, extra=False)).collect()}
+    assert got == {1: "weak:0:10,weak:11:24", 2: "", 3: "", 4: "weak:15:28"}
+
+
+def test_secrets_query(spark, docs):
+    got = {r["doc_id"]: r["base_sha256"] for r in queries.QUERIES["op9_secrets"](spark, DIR).toArrow().to_pylist()}
+    assert all(got[d["doc_id"]] == sha(",".join(f"{n}:{a}:{b}" for a, _, b, n in hidden(d["text"]))) for d in docs)
+
+
+# 10 ---------------------------------------------------------------------------------------------------------------
+
+
+def linked(texts):
+    """Component of every text by comparing all sets."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append(set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return [(len(s), r) for s, r in zip(sets, root, strict=True)]
+
+
+def test_minhash_groups(spark):
+    """A group whose members are near one another, near the original alone, or in chains."""
+    r, base = random.Random(10), ["".join(random.Random(k).choices("abcdefghij", k=7)) for k in range(150)]
+    texts = []
+    for _ in range(140):
+        w = list(base)
+        for _ in range(r.randint(0, 14)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([[], [f"n{r.randrange(500)}"], [w[k], w[k]]])
+        texts.append(" ".join(w))
+    texts += [" ".join(base[: 150 - k]) for k in range(0, 90, 6)] + [prose(k, 60) for k in range(20)] + ["one", "ONE", "", "two words"]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[k] for k in order]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(frame(spark, list(enumerate(texts)), extra=False), 2, 80).collect()}
+    assert [got[k] for k in range(len(texts))] == linked(texts)
+
+
+def test_minhash_query(spark, docs):
+    docs = sorted(docs, key=lambda d: d["doc_id"])
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_minhash"](spark, DIR).toArrow().to_pylist()}
+    for d, (n, root) in zip(docs, linked([d["text"] for d in docs]), strict=True):
+        g = got[d["doc_id"]]
+        assert (g["n_shingles"], g["component_id"], g["kept"]) == (n, docs[root]["doc_id"], docs[root]["doc_id"] == d["doc_id"])
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "pii", "byte_bpe"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, DIR).dtypes == docs.dtypes
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, DIR).toArrow().to_pylist()}
+    text = {r["doc_id"]: r["text"] for r in docs.toArrow().to_pylist()}
+    groups = defaultdict(list)
+    for i in got:
+        groups[text[i]].append(i)
+    assert 0 < len(got) < len(text) and max(map(len, groups.values())) == 1
+    leaks = {r["doc_id"] for r in queries.QUERIES["op4_decontamination"](spark, DIR).toArrow().to_pylist()}
+    assert not leaks & got.keys()
+    judge = pii.model()
+    assert all(g["decoded_sha256"] == sha(pii.redacted(text[i], judge)) for i, g in got.items())
