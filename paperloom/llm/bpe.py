@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_strings, held, ship, text_rows
+from paperloom.llm.common import arrow_strings, held, no_cycles, ship, text_rows
 
 #: Characters that the pattern's ``\s`` takes, as the inside of a character class: Unicode White_Space.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -196,13 +196,14 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     ship(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary or public_path(), pattern or public_pattern())
-        for batch in batches:
-            found = list(bpe.digests(arrow_strings(batch, "text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with no_cycles():
+            bpe = load(vocabulary or public_path(), pattern or public_pattern())
+            for batch in batches:
+                found = list(bpe.digests(arrow_strings(batch, "text")))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return text_rows(docs).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,3 +103,15 @@ def held(name: str, make):
 
 def release() -> None:
     _HELD.clear()
+
+
+@contextmanager
+def no_cycles():
+    """Without the cyclic garbage collector, which would walk over tables of strings and tuples that hold no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
