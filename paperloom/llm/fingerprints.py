@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import held, ship, text_rows
+from paperloom.llm.common import held, no_cycles, ship, text_rows
 
 SAMPLES = 128
 BUCKETS = 1 << 17
 #: Rows (bucket and weight) whose draws a worker remembers; all are given up when the table is full.
+#: Ranges are dealt out by hash; with several for each task the load evens out.
+RANGES_PER_TASK = 8
 CACHE_ROWS = 160_000
 WORDS_AT_ONCE = 4_096
 EMPTY = "0" * (4 * SAMPLES)
@@ -148,13 +150,14 @@ def _batch(rows: list[tuple], key_type) -> pa.RecordBatch:
 def with_next(docs: DataFrame) -> DataFrame:
     """The fingerprint of every document and of its text edited with the next one's.
 
-    The order by descending doc_id is cut into ranges at quantiles of the ids, one for each shuffle partition; texts
-    are shuffled once, and rows are paired within a range as they stream by. Only the first and the last text of each
-    range, as many as there are partitions, are paired across ranges.
+    The order by descending doc_id is cut into ranges at quantiles of the ids, a few for each shuffle partition;
+    texts are shuffled once, and rows are paired within a range as they stream by. Only the first and the last text of
+    each range are paired across ranges, which is a number of rows that depends on the partitions alone.
     """
     spark = docs.sparkSession
     ship(spark)
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = tasks * RANGES_PER_TASK
     rows = text_rows(docs)
     bounds = sorted(set(rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
 
@@ -164,23 +167,24 @@ def with_next(docs: DataFrame) -> DataFrame:
         return pd.Series(len(bounds) - np.searchsorted(np.array(bounds, np.float64), ids.fillna(-np.inf).to_numpy(np.float64), side="right"))
 
     dealt = rows.withColumn("part", range_of(F.col("doc_id").cast("double")))
-    dealt = dealt.repartition(ranges, "part").sortWithinPartitions("part", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", F.col("doc_id").desc_nulls_last(), "text")
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, before, out = pairing(), None, []
-        for batch in batches:
-            for part, doc, text in zip(batch.column("part"), batch.column("doc_id"), batch.column("text"), strict=True):
-                now = (part.as_py(), doc.as_py(), text.as_py())
-                if before and before[0] == now[0]:
-                    out.append(pair.row(before[1], before[2], now[2]))
-                before = now
-                if len(out) >= 2048:
+        with no_cycles():
+            pair, before, out = pairing(), None, []
+            for batch in batches:
+                for part, doc, text in zip(batch.column("part"), batch.column("doc_id"), batch.column("text"), strict=True):
+                    now = (part.as_py(), doc.as_py(), text.as_py())
+                    if before and before[0] == now[0]:
+                        out.append(pair.row(before[1], before[2], now[2]))
+                    before = now
+                    if len(out) >= 2048:
+                        yield _batch(out, batch.schema.field("doc_id").type)
+                        out = []
+                if out:
                     yield _batch(out, batch.schema.field("doc_id").type)
                     out = []
-            if out:
-                yield _batch(out, batch.schema.field("doc_id").type)
-                out = []
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.string(), None, pa.string()]
@@ -210,6 +214,6 @@ def with_next(docs: DataFrame) -> DataFrame:
             yield _batch(found, batch.schema.field("last_id").type)
 
     edges = dealt.mapInArrow(ends, f"part int, first_text string, last_id {key}, last_text string")
-    ordered = Window.orderBy("part")  # as many rows as ranges
+    ordered = Window.orderBy("part")  # RANGES_PER_TASK rows for each shuffle partition at most
     edges = edges.select("last_id", "last_text", F.coalesce(F.lead("first_text").over(ordered), F.first("first_text").over(ordered)).alias("next_text"))
     return dealt.mapInArrow(inner, _schema(docs)).unionByName(edges.mapInArrow(across, _schema(docs)))
