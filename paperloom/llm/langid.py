@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import held, held_out, ship
+from paperloom.llm.common import held, held_out, no_cycles, ship
 
 #: Bounds of the fit.
 DOCS_PER_LANG = 600
@@ -165,10 +165,11 @@ def predict(docs: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabularies)  # CHARS_PER_LANG characters a language at most
 
     def predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(shared)
-        for batch in batches:
-            found = [parser.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+        with no_cycles():
+            parser = _parser(shared)
+            for batch in batches:
+                found = [parser.predict(t.as_py()) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(predictions, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
