@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_strings, held_out, release, ship, text_rows
+from paperloom.llm.common import arrow_strings, held_out, no_cycles, release, ship, text_rows
 
 #: Bounds of the fit.
 MAX_FIT_ROWS = 6_000
@@ -190,10 +190,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            found = [model.score(t) for t in arrow_strings(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())], names=["doc_id", "score", "predicted"])
+        with no_cycles():
+            release()
+            for batch in batches:
+                found = [model.score(t) for t in arrow_strings(batch, "text")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return text_rows(docs).mapInArrow(scores, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
