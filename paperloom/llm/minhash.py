@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, arrow_strings, release, ship, text_rows
+from paperloom.llm.common import Scratch, arrow_strings, no_cycles, release, ship, text_rows
 from paperloom.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -122,21 +122,22 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        own = Shingler(shingle)
-        for batch in batches:
-            sizes, cls, bands = [], [], []
-            for text in arrow_strings(batch, "text"):
-                s = own.of(text)
-                sizes.append(len(s))
-                if len(s):
-                    cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(band_keys(signature(s)))
-                else:
-                    cls.append(None)
-                    bands.append(None)
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((sizes, cls, bands), kinds, strict=True))], names=["doc_id", "n_shingles", "cls", "bands"])
+        with no_cycles():
+            release()
+            own = Shingler(shingle)
+            for batch in batches:
+                sizes, cls, bands = [], [], []
+                for text in arrow_strings(batch, "text"):
+                    s = own.of(text)
+                    sizes.append(len(s))
+                    if len(s):
+                        cls.append(xxhash.xxh3_128_digest(s.tobytes()))
+                        bands.append(band_keys(signature(s)))
+                    else:
+                        cls.append(None)
+                        bands.append(None)
+                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((sizes, cls, bands), kinds, strict=True))], names=["doc_id", "n_shingles", "cls", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return text_rows(docs).mapInArrow(sketch, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>")
