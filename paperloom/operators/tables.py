@@ -51,15 +51,21 @@ def header_rows(cells: DataFrame, key: str) -> DataFrame:
     return cells.join(ends, key).withColumn("is_header", F.col("row") < F.col("first_body")).drop("first_body")
 
 
-def column_labels(cells: DataFrame, key: str) -> DataFrame:
-    """(key, col, label): the header cells of a column from top to bottom, equal neighbours once, joined by " / "."""
-    by = Window.partitionBy(key, "col").orderBy("row")
+def with_labels(cells: DataFrame, key: str) -> DataFrame:
+    """Cells with their column's label: its header cells from top to bottom, equal neighbours once, joined by " / "."""
     text = F.trim(F.coalesce("text", F.lit("")))
-    head = cells.filter("is_header").withColumn("text", text).filter("text <> ''")
-    fresh = head.withColumn("back", F.lag("text").over(by)).filter("back IS NULL OR back <> text")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " / ")
-    named = fresh.groupBy(key, "col").agg(joined.alias("label"))
-    return cells.select(key, "col").distinct().join(named, [key, "col"], "left").fillna("", ["label"])
+    heads = F.array_sort(F.collect_list(F.when(F.col("is_header") & (text != ""), F.struct("row", text.alias("t")))).over(Window.partitionBy(key, "col")))
+
+    def fresh(x: Column, i: Column) -> Column:
+        return (i == 0) | (x["t"] != F.get("_heads", i - 1)["t"])
+
+    label = F.array_join(F.transform(F.filter("_heads", fresh), lambda x: x["t"]), " / ")
+    return cells.withColumn("_heads", heads).withColumn("label", label).drop("_heads")
+
+
+def column_labels(cells: DataFrame, key: str) -> DataFrame:
+    """(key, col, label) of every column, empty where it has no header."""
+    return with_labels(cells, key).groupBy(key, "col").agg(F.first("label").alias("label"))
 
 
 def quality(cells: DataFrame, key: str) -> DataFrame:
@@ -75,19 +81,22 @@ def quality(cells: DataFrame, key: str) -> DataFrame:
     )
 
 
-def additive_columns(body: DataFrame, key: str) -> DataFrame:
-    """(key, col, additive) of body cells (row, col, num, label, is_total): not shares, rates, years or running numbers."""
-    by = Window.partitionBy(key, "col").orderBy("row")
-    details = body.filter("NOT is_total AND num IS NOT NULL").withColumn("k", F.row_number().over(by) - 1).withColumn("first", F.first("num.value").over(by))
+def with_additive(body: DataFrame, key: str) -> DataFrame:
+    """Body cells (row, col, num, label, is_total) with ``additive``: their column holds no shares, rates, years or running numbers."""
+    column = Window.partitionBy(key, "col")
+    detail = ~F.col("is_total") & F.col("num").isNotNull()
+    up_to = column.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = body.withColumn("_k", F.count_if(detail).over(up_to) - 1).withColumn("_first", F.min(F.when(detail & (F.col("_k") == 0), F.col("num.value"))).over(column))
+
+    def all_of(condition: Column) -> Column:
+        return F.coalesce(F.bool_and(F.when(detail, condition)).over(column), F.lit(False))
+
     whole = (F.col("num.decimals") == 0) & ~F.col("num.commas")
-    facts = details.groupBy(key, "col").agg(
-        F.count("*").alias("n"), F.bool_or("num.percent").alias("percent"), F.bool_and(whole).alias("whole"),
-        F.bool_and(F.col("num.value").between(1900, 2100)).alias("years"),
-        F.bool_and(F.col("first").isin(0, 1) & (F.col("num.value") == F.col("first") + F.col("k"))).alias("serial"),
-    )
-    labels = body.groupBy(key, "col").agg(F.first("label").alias("label"))
-    odd = F.col("percent") | ((F.col("n") >= 2) & F.col("whole") & (F.col("years") | F.col("serial")))
-    return labels.join(facts, [key, "col"], "left").select(key, "col", (~F.col("label").rlike(NOT_ADDITIVE) & ~F.coalesce(odd, F.lit(False))).alias("additive"))
+    years = F.col("num.value").between(1900, 2100)
+    serial = F.col("_first").isin(0, 1) & (F.col("num.value") == F.col("_first") + F.col("_k"))
+    odd = ~all_of(~F.col("num.percent")) & (F.count_if(detail).over(column) > 0)
+    odd = odd | ((F.count_if(detail).over(column) >= 2) & all_of(whole) & (all_of(years) | all_of(serial)))
+    return ranked.withColumn("additive", ~F.col("label").rlike(NOT_ADDITIVE) & ~odd).drop("_k", "_first")
 
 
 def _candidates(rows: DataFrame, line: list[str], along: str, drop_first: bool) -> DataFrame:
@@ -162,15 +171,18 @@ def check_totals(cells: DataFrame, key: str, strict: bool = False) -> DataFrame:
     """
     text = F.trim(F.coalesce("text", F.lit("")))
     parsed = cells.select(key, "row", "col", "is_header", text.alias("text"), N.table_number(text).alias("num"))
+    # One shuffle by table serves every window below.
+    parsed = parsed.repartition(key)
     whole = Window.partitionBy(key)
     in_first = F.col("row") == 0
     takes = ~F.bool_or("is_header").over(whole) & (F.max("row").over(whole) > 0) & F.bool_or(in_first & (F.col("text") != "")).over(whole) & ~F.bool_or(in_first & F.col("num").isNotNull()).over(whole)
     parsed = parsed.withColumn("is_header", F.col("is_header") | (in_first & takes))
-    labels = column_labels(parsed, key).withColumn("total_column", is_total_label(F.substring_index("label", " / ", -1)) | is_total_label(F.col("label")))
+    total_column = is_total_label(F.substring_index("label", " / ", -1)) | is_total_label(F.col("label"))
     name = F.when(F.col("num").isNull() & (F.col("text") != "") & (F.col("col") < 2), F.struct("col", "text"))
-    body = parsed.filter("NOT is_header").join(labels, [key, "col"]).withColumn("row_label", F.coalesce(F.min(name).over(Window.partitionBy(key, "row"))["text"], F.lit("")))
-    body = body.withColumn("is_total", is_total_label(F.col("row_label")))
-    body = body.join(additive_columns(body, key), [key, "col"]).withColumns({"value": F.col("num.value").cast(DECIMAL), "decimals": F.col("num.decimals"), "commas": F.col("num.commas")})
+    body = with_labels(parsed, key).withColumn("total_column", total_column).filter("NOT is_header")
+    body = body.withColumn("row_label", F.coalesce(F.min(name).over(Window.partitionBy(key, "row"))["text"], F.lit("")))
+    body = with_additive(body.withColumn("is_total", is_total_label(F.col("row_label"))), key)
+    body = body.withColumns({"value": F.col("num.value").cast(DECIMAL), "decimals": F.col("num.decimals"), "commas": F.col("num.commas")})
     column = F.when(F.col("label") != "", F.col("label")).otherwise(F.concat(F.lit("Column "), (F.col("col") + 1).cast("string")))
     plain = F.col("num").isNotNull() & ~F.col("num.percent")
 

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from paperloom.plans import relational, texts  # noqa: E402, F401  they register themselves
+from paperloom.plans import layouts, relational, texts  # noqa: E402, F401  they register themselves
