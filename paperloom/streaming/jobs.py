@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.blocks import latest
-from paperloom.sources import office
+from paperloom.sources import office, pdf
 
 STATES = ("UPLOADED", "QUEUED", "PROCESSING", "SUCCESS", "PARTIAL_SUCCESS", "FAILED")
 
@@ -23,6 +23,9 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> Strea
 
     def write(batch: DataFrame, number: int) -> None:
         office.blocks(batch).write.mode("overwrite").parquet(f"{out}/blocks/batch={number}")
+        # Decoding is the dear part, so blocks are made from the rows as written.
+        pdf.rows(batch).write.mode("overwrite").parquet(f"{out}/pdf_rows/batch={number}")
+        pdf.blocks(batch.sparkSession.read.parquet(f"{out}/pdf_rows/batch={number}")).write.mode("overwrite").parquet(f"{out}/pdf_blocks/batch={number}")
         done = office.admitted(batch).select(F.col("path").alias("document_id"), F.when(F.col("error_code").isNull(), "SUCCESS").otherwise("FAILED").alias("status"), F.lit(number).alias("seq"))
         done.write.mode("overwrite").parquet(f"{out}/job_events/batch={number}")
 
@@ -38,3 +41,10 @@ def rates(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> Da
     """Events by type in tumbling windows; rows later than the watermark are dropped when this runs as a stream."""
     found = events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"))
     return found.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def exclusive_times(spans: DataFrame, key: str) -> DataFrame:
+    """Spans (key, id, parent_id, stage, seconds) summed by stage without the time of the spans inside them."""
+    inner = spans.filter("parent_id IS NOT NULL").groupBy(key, F.col("parent_id").alias("id")).agg(F.sum("seconds").alias("_inner"))
+    own = spans.join(inner, [key, "id"], "left").withColumn("own", F.greatest(F.lit(0.0), F.col("seconds") - F.coalesce("_inner", F.lit(0.0))))
+    return own.groupBy(key, "stage").agg(F.round(F.sum("own"), 6).alias("seconds"), F.count("*").alias("spans"))

@@ -3,8 +3,10 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from paperloom.sources import pdf
+from paperloom.sources import pdf, providers
+from paperloom.streaming import jobs
 
 
 def written(pages, compressed=True, extra=b""):
@@ -61,3 +63,21 @@ def test_blocks_and_errors(spark):
     got = pdf.blocks(rows).filter("page = 1").orderBy("order_no").collect()
     assert [(r.type, r.text) for r in got] == [("header", "Running head"), ("heading", "A title"), ("paragraph", "Left column text (with (brackets))."), ("paragraph", "Right column text that says a lot."), ("footer", "1")]
     assert [(r.page, r.is_scanned) for r in pdf.pages(rows).orderBy("page").collect()] == [(1, False), (2, False)]
+
+
+def test_providers(spark):
+    def reader(data):
+        return [{"text": data.decode(), "x0": 0.0, "y0": 0.0, "x1": 9.0, "y1": 5.0, "confidence": 0.9}]
+
+    images = spark.createDataFrame([("a", 1, b"word"), ("a", 2, b"\xff"), ("a", 3, None)], "document_id string, page int, content binary")
+    assert [(r.page, r.text, r.error_code) for r in providers.words(images, reader).orderBy("page").collect()] == [(1, "word", None), (2, None, "OCR_FAILURE"), (3, None, "OCR_FAILURE")]
+    assert {r.error_code for r in providers.words(images, None).collect()} == {"OCR_FAILURE"}
+    row = spark.createDataFrame([("l", n, x, x + 20.0, 0.0, 10.0) for n, x in enumerate((0.0, 25.0, 100.0))], "l string, n int, x0 double, x1 double, y0 double, y1 double")
+    assert [r.part for r in providers.split_at_gaps(row, ["l"]).orderBy("n").collect()] == [1, 1, 2]
+    scores = spark.createDataFrame([(5, 0.15, 0.55, 0.5), (5, 0.9, 0.9, 0.85), (9, 9.0, 9.0, None), (2, 9.0, 9.0, None)], "n int, j double, s double, c double")
+    assert [r.s for r in scores.select(providers.handwriting_score(*[F.col(c) for c in "njsc"]).alias("s")).collect()] == [0.863, 0.0, 1.0, 0.0]
+
+
+def test_exclusive_times(spark):
+    spans = spark.createDataFrame([("d", 1, None, "all", 10.0), ("d", 2, 1, "text", 3.0), ("d", 3, 1, "tables", 4.0), ("d", 4, 3, "text", 1.0)], "d string, id int, parent_id int, stage string, seconds double")
+    assert {r.stage: r.seconds for r in jobs.exclusive_times(spans, "d").collect()} == {"all": 3.0, "text": 4.0, "tables": 3.0}
