@@ -1,9 +1,9 @@
 """Document fingerprints by consistent weighted sampling.
 
-The terms of a text are its words, the runs between ASCII white space, hashed into ``BUCKETS`` buckets; their weights
-are their counts. For every bucket and each of ``SAMPLES`` coordinates, r and c are drawn from Gamma(2, 1) and beta
-uniformly, all by hash; with t = floor(ln w / r + beta) the sampled key is the bucket with the least
-ln c - r (t - beta) - r, and the coordinate keeps 16 bits of a hash of (bucket, t). Two coordinates agree with a
+The terms of a text are its words, the runs between ASCII white space, as 64-bit hashes; their weights are their
+counts. For every term and each of ``SAMPLES`` coordinates, r and c are drawn from Gamma(2, 1) and beta uniformly, all
+by hash; with t = floor(ln w / r + beta) the sampled key is the term with the least ln c - r (t - beta) - r, and the
+coordinate keeps 16 bits of a hash of (term, t). Two coordinates agree with a
 probability equal to the generalised Jaccard similarity of the weighted terms (plus 2^-16).
 
 Defined cases: a null or empty text, or one of white space only, has the fingerprint of zeros; two of those are alike
@@ -14,6 +14,7 @@ doc_ids follow one another by text; a null doc_id comes last. Other columns are
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import held, no_cycles, ship, text_rows
 
 SAMPLES = 128
-BUCKETS = 1 << 17
-#: Rows (bucket and weight) whose draws a worker remembers; all are given up when the table is full.
 #: Ranges are dealt out by hash; with several for each task the load evens out.
 RANGES_PER_TASK = 8
+#: Rows (term and weight) whose draws a worker remembers; all are given up when the table is full.
 CACHE_ROWS = 160_000
 WORDS_AT_ONCE = 4_096
+#: Rows drawn in one go, so few that the processor's cache holds what comes between.
+DRAWN_AT_ONCE = 64
 EMPTY = "0" * (4 * SAMPLES)
 
 U64 = np.uint64
@@ -44,49 +46,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _uniform(keys: np.ndarray, stream: int) -> np.ndarray:
-    """In (0, 1), one for each bucket and coordinate."""
-    at = (keys.astype(U64)[:, None] * U64(SAMPLES) + np.arange(SAMPLES, dtype=U64)) * U64(5) + U64(stream)
-    return ((_mix((at + U64(1)) * U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) + 0.5) / 2.0**53
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """In (0, 1), of the lowest 23 bits."""
+    return ((bits & U64(0x7FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
 
 
-def draws(buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ln a and the 16-bit code of every (bucket, weight) and coordinate."""
-    r = -np.log(_uniform(buckets, 0) * _uniform(buckets, 1))
-    ln_c = np.log(-np.log(_uniform(buckets, 2) * _uniform(buckets, 3)))
-    beta = _uniform(buckets, 4)
-    t = np.floor(np.log(weights.astype(np.float64))[:, None] / r + beta)
-    code = _mix(buckets.astype(U64)[:, None] * U64(0xD6E8FEB86659FD93) + t.astype(np.int64).astype(U64)) >> U64(48)
-    return (ln_c - r * (t - beta) - r).astype(np.float32), code.astype(np.uint16)
+STEPS = np.arange(SAMPLES, dtype=U64) * U64(0xD1342543DE82EF95)
+
+
+def draws(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln a and the 16-bit code of every (term, weight) and coordinate."""
+    mixed = _mix(terms)
+    at = mixed[:, None] + STEPS
+    one, two = _mix(at), _mix(at + U64(0x9E3779B97F4A7C15))
+    r = -np.log(_uniform(one) * _uniform(one >> U64(23)))
+    ln_c = np.log(-np.log(_uniform(two) * _uniform(two >> U64(23))))
+    beta = ((one >> U64(46)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-18)
+    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + beta)
+    code = (mixed >> U64(48)).astype(np.uint32)[:, None] + t.astype(np.uint32) * np.uint32(40503)
+    return ln_c - r * (t - beta) - r, code.astype(np.uint16)
 
 
 class Sampler:
     def __init__(self):
-        self.rows: dict[int, int] = {}
+        self.rows: dict[tuple[int, int], int] = {}
         self.ln_a = np.empty((CACHE_ROWS, SAMPLES), np.float32)
         self.code = np.empty((CACHE_ROWS, SAMPLES), np.uint16)
         self.coordinates = np.arange(SAMPLES)
 
-    def _find(self, keys: list[int]) -> list[int]:
+    def _find(self, keys: list[tuple[int, int]]) -> list[int]:
         found = list(map(self.rows.get, keys))
         if None in found:
             if len(self.rows) + len(keys) > CACHE_ROWS:
                 self.rows.clear()
             new = [k for k in keys if k not in self.rows]
             at = len(self.rows)
-            packed = np.array(new, np.int64)
-            self.ln_a[at : at + len(new)], self.code[at : at + len(new)] = draws(packed % BUCKETS, packed // BUCKETS)
+            terms, weights = np.array([k[0] for k in new], U64), np.array([k[1] for k in new], np.int64)
+            for k in range(0, len(new), DRAWN_AT_ONCE):
+                piece = slice(k, k + DRAWN_AT_ONCE)
+                ln_a, code = draws(terms[piece], weights[piece])
+                self.ln_a[at + k : at + k + len(ln_a)], self.code[at + k : at + k + len(ln_a)] = ln_a, code
             self.rows.update(zip(new, range(at, at + len(new)), strict=True))
             found = list(map(self.rows.get, keys))
         return found
 
     def signature(self, text: str) -> np.ndarray | None:
-        words = text.encode().split()
-        if not words:
+        counts = Counter(text.encode().split())
+        if not counts:
             return None
-        digest = xxhash.xxh32_intdigest
-        buckets, counts = np.unique(np.array([digest(w) for w in words], np.int64) % BUCKETS, return_counts=True)
-        keys = (counts * BUCKETS + buckets).tolist()
+        keys = list(zip(map(xxhash.xxh64_intdigest, counts), counts.values(), strict=True))
         best, out = None, None
         for at in range(0, len(keys), WORDS_AT_ONCE):
             rows = np.array(self._find(keys[at : at + WORDS_AT_ONCE]))

@@ -259,6 +259,13 @@ def test_one_fingerprint(spark):
     assert len(r) == 1 and r[0].near_next == 1.0
 
 
+def test_fingerprints_of_long_texts():
+    """Texts of many words, none of them common, are not alike."""
+    own = fingerprints.Sampler()
+    a, b = (own.signature(" ".join(f"{side}{k}" for k in range(60_000))) for side in "ab")
+    assert fingerprints.likeness(a, b) < 0.02
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 
 
