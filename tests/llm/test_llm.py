@@ -181,6 +181,17 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontam.clean(frame(spark, rows, extra=False), items).collect()} == {3, 4, 6}
 
 
+def test_decontamination_parts(spark):
+    """A long verbatim part, an inserted or a missing word, and items of few words."""
+    long, short = [f"l{k}" for k in range(59)], [f"s{k}" for k in range(16)]
+    texts = [long[9:49], short[:8] + ["new"] + short[8:], short[:8] + short[9:], ["x", "only", "four", "words", "here", "y"], ["only", "four", "words"], long[:12] + ["z"] * 20]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(6, "先。今日は晴れです。後"), (7, "今日は晴れ")]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, "Only four words here"), (4, "今日は晴れです"), (5, "...")], "item_id long, text string")
+    for seeds in (decontam.BROADCAST_SEEDS, 0):
+        got = {(r.doc_id, r.item_id): (round(r.similarity, 3), r.n_places) for r in decontam.find(frame(spark, rows), items, broadcast_seeds=seeds).collect()}
+        assert got == {(0, 1): (0.678, 1), (1, 2): (1.0, 1), (2, 2): (0.938, 1), (3, 3): (1.0, 1), (6, 4): (1.0, 1)}
+
+
 def test_decontamination_brute_force(spark, docs):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet").toArrow().to_pylist()
     word = re.compile(r"[^\W_]+")
