@@ -32,7 +32,7 @@ MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 18
 #: Bytes of a range; the reader's parallelism is the archives' size over it.
 SPLIT = 8 << 20
-#: Uncompressed bytes within which a record's header must end.
+#: Bytes that are looked at or inflated at a time until a record's header ends.
 HEADER_LIMIT = 1 << 16
 SHORT_HEADER = 1 << 11
 PAGE, REFERS, LENGTH = "WARC-Paperloom-Page", "WARC-Paperloom-Refers-To-Page", "WARC-Paperloom-Payload-Length"
@@ -120,18 +120,6 @@ def header_at(data: bytes) -> dict[str, str] | None:
     return out if "content-length" in out and "warc-type" in out else None
 
 
-def validated(data: bytes) -> dict[str, str] | None:
-    """The record header that a candidate member's first bytes inflate to, or None."""
-    try:
-        z = zlib.decompressobj(31)
-        start = z.decompress(data, SHORT_HEADER)
-        if not start.startswith(b"WARC/1."):
-            return None
-        return header_at(start) or header_at(start + z.decompress(z.unconsumed_tail, HEADER_LIMIT))
-    except zlib.error:
-        return None
-
-
 class Stretch:
     """Bytes of a file from a moving place on, read in blocks; memory is one member's at most."""
 
@@ -148,6 +136,34 @@ class Stretch:
         self.data, self.start = self.data[to - self.start :], to
 
 
+VERSION = b"WARC/1."
+
+
+def validated(w: Stretch) -> dict[str, str] | None:
+    """The record header that the member at the stretch's start inflates to, however long; None if no record starts there."""
+    z, start, fed, limit = zlib.decompressobj(31), bytearray(), 0, SHORT_HEADER
+    try:
+        while not z.eof:
+            piece = z.unconsumed_tail
+            if not piece:
+                if fed == len(w.data) and not w.more():
+                    break
+                piece = w.data[fed : fed + HEADER_LIMIT]
+                fed += len(piece)
+            seen = max(0, len(start) - 3)
+            start += z.decompress(piece, limit)
+            limit = HEADER_LIMIT
+            if not start.startswith(VERSION[: len(start)]):
+                return None
+            if start.find(b"\r\n\r\n", seen) >= 0:
+                return header_at(bytes(start))
+    except zlib.error:
+        return None
+    if start.startswith(VERSION):
+        raise ValueError(f"the record at {w.start} ends within its header")
+    return None
+
+
 def read_range(stream, size: int, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header and block of the records whose members start in [start, end)."""
     w = Stretch(stream, start, size)
@@ -166,7 +182,7 @@ def read_range(stream, size: int, start: int, end: int) -> Iterator[tuple[dict[s
         w.drop(at)
         while len(w.data) < HEADER_LIMIT and w.more():
             pass
-        head = validated(w.data[:HEADER_LIMIT])
+        head = validated(w)
         if head is None:
             at += 1
             continue

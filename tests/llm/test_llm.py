@@ -329,6 +329,18 @@ def test_warc_splits():
         assert got == [str(k) for k in range(60)]
 
 
+def test_warc_long_header():
+    r = random.Random(11)
+    url = "http://x/" + "".join(r.choices("abcdefghijklmnop", k=700_000))
+    data = warc.record(1, "u", b"a", None, False) + warc.record(2, url, b"b", None, False) + warc.record(3, " " * 30_000, b"c", None, False)
+    got = [(h["warc-paperloom-page"], len(h["warc-target-uri"])) for h, _ in warc.read_range(io.BytesIO(data), len(data), 0, len(data))]
+    assert got == [("1", 1), ("2", len(url)), ("3", 90_000)]
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+    short = z.compress(b"WARC/1.1\r\nWARC-Type: response\r\n") + z.flush()
+    with pytest.raises(ValueError, match="within its header"):
+        list(warc.read_range(io.BytesIO(short), len(short), 0, len(short)))
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------
 
 
