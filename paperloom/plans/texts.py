@@ -67,6 +67,16 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).filter("n >= 5")
 
 
+@query(
+    f"""SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\\-'']{{2,}}'))) AS term FROM documents)
+    WHERE term NOT IN ({STOP_SQL}) GROUP BY doc_id, term"""
+)
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of every document, however rare."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    return each.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
 @query()
 def key_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.lines(table(spark, sf_dir, "documents"), "doc_id")

@@ -40,3 +40,10 @@ def test_query(spark, db, name):
     assert cols == sorted(names)
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=str)
     assert sorted((tuple(plain(r[c]) for c in cols) for r in got.to_pylist()), key=str) == want
+
+
+def test_rare_terms(spark):
+    """Terms by document, those under five times in all documents too."""
+    got = catalog.QUERIES["document_terms"](spark, DIR)
+    assert got.columns == ["doc_id", "term", "n"]
+    assert got.groupBy("term").sum("n").filter("`sum(n)` < 5").count() > 0
