@@ -32,13 +32,20 @@ Span = tuple[str, int, int]
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: The pattern from the beginning of a run of digits on, which is where its leftmost matches begin; no run is read twice.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
 
 
+def octet(part: str) -> bool:
+    """At most 255, however many zeros lead."""
+    own = part.lstrip("0")
+    return len(own) < 3 or (len(own) == 3 and own <= "255")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -67,7 +74,7 @@ def base_spans(text: str) -> list[Span]:
     """By kind as listed, then by start."""
     out: list[Span] = [("email", a, b) for a, b in emails(text)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(map(octet, m.group().split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m.group().replace(" ", "").replace("-", "")

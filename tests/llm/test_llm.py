@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -229,6 +230,17 @@ def test_pii_base():
         assert pii.base_spans(s) == private(s), s
 
 
+def test_pii_long_numbers():
+    """Runs of any length: zeros before an octet, and digits that no dot follows, each read once."""
+    zeros = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(zeros) == [("ip", 0, len(zeros))] and pii.base_spans("0" * 5000 + "256.1.1.1") == []
+    began = time.perf_counter()
+    pii.base_spans("7" * 400_000 + " " + "1." * 200_000 + " +" + "1 " * 200_000)
+    assert time.perf_counter() - began < 5
+    for s in ("1.2.3.4.5.6.7.8", "1.2.3.256.1.1.1.1", "12.3.4.5.", "1..2.3.4.5", "300.1.2.3.4"):
+        assert pii.base_spans(s) == private(s)
+
+
 def test_pii_added(spark):
     text = "please call 030 123 4567 now, write alor at bente dot com or version 2020-10-11"
     base, every = pii.find(text, pii.model())
