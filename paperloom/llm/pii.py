@@ -1,22 +1,28 @@
 """Personal data by candidate spans and boosted trees.
 
-Base spans follow four fixed patterns (email, ip, card, phone). High-recall generators then propose overlapping
-candidates that the patterns miss: e-mail addresses written out in words, and loose groups of digits that may be
-telephone or card numbers. Gradient-boosted trees judge each candidate by its format and by the words before it, their
-margins are calibrated on a held-out half by Platt's method, and a kind's threshold is the lowest that keeps the wanted
-precision there. What passes and overlaps nothing better joins the base spans, which always stay.
+Base spans follow four fixed patterns (email, ip, card, phone). High-recall generators then propose candidates of all
+four kinds that the patterns miss and that may overlap one another: addresses with at and dot written out or set off, IP
+addresses with dots spaced or bracketed, and stretches of loose groups of digits. Gradient-boosted trees judge each
+candidate by its format and its context, their margins are calibrated by Platt's method, and a kind's threshold is the
+lowest that keeps the wanted precision. What passes, likeliest first, and overlaps nothing accepted before joins the
+base spans, which always stay.
 
-The trees are trained on sentences generated here from a fixed seed (the tables hold no labels of this kind).
+The trees learn from pieces of the documents themselves, cut by the hash of their ids into a fold that fits, one that
+calibrates and one on which precision and recall are measured: base matches rewritten into forms that the patterns miss
+are personal; near misses and the tables' other candidates are not. The sample is bounded by ``FIT_DOCS`` documents.
 
 Offsets count code points; ends are exclusive. Defined cases: a null or empty text has no spans and empty strings (the
-digest is that of the empty string); rows repeat as they come; other columns are ignored, or kept by ``redact``.
+digest is that of the empty string); rows repeat as they come; without a document that has an id the trees learn from
+made-up sentences; other columns are ignored, or kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -88,12 +94,13 @@ def base_spans(text: str) -> list[Span]:
 
 # Candidates -----------------------------------------------------------------------------------------------------
 
-WORDED = re.compile(
-    r"[A-Za-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[A-Za-z0-9-]{2,40}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z]{2,12}){1,3}",
-    re.IGNORECASE,
-)
-WORDED_CUE = re.compile(r"[\(\[{\x20]at[\)\]}\x20][^\n]{0,60}?[\(\[{\x20]dot[\)\]}\x20]|@", re.IGNORECASE)
-GROUPS = re.compile(r"\(?[0-9]{1,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,6}\)?){1,6}|[0-9]{8,19}")
+AT = re.compile(r"\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?", re.IGNORECASE)
+WORDED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z]{2,}+)+", re.IGNORECASE)
+#: Four groups of digits with dots that may be spaced, bracketed or written out; and eight of hexadecimal digits.
+ADDRESS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\.|\[\.\]|\(\.\)|\(dot\)|\[dot\])\x20?[0-9]{1,3}){3}(?![0-9])")
+HEXADECIMAL = re.compile(r"(?<![0-9a-fA-F:])[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}(?![0-9a-fA-F:])")
+DIGITS = re.compile(r"\(?[0-9]++\)?")
+JOINT = re.compile(r"[\x20./-]{1,2}")
 CONTEXT = 32
 
 # Words before a candidate that speak for a kind.
@@ -101,48 +108,94 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "téléphone", "telefon", "teléfono", "rufen", "appelez"),
     "card": ("card", "visa", "mastercard", "credit", "carte", "karte", "tarjeta", "payment"),
     "email": ("mail", "email", "e-mail", "contact", "write", "courriel", "correo"),
+    "ip": ("ip", "address", "host", "server", "login", "adresse", "dirección"),
 }
 AGAINST = ("version", "isbn", "order", "invoice", "page", "date", "year", "total", "price", "id", "no.", "section", "figure", "table")
 
-FEATURES = 14
+NAMES = ("kind", "digits", "groups", "longest", "hyphens", "dots", "spaces", "slashes", "bracket", "luhn", "zero", "plus", "octets", "worded", "cue", "against", "glued", "top")
+
+
+def written_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """E-mail addresses with at and dot written out or set off, found from their at outwards."""
+    for m in AT.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        end = WORDED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if end:
+            yield start, end.end()
+
+
+def number_groups(text: str) -> Iterator[tuple[int, int]]:
+    """Of every chain of groups of digits: from each group the longest stretches of at most 15 and of at most 19 digits."""
+    at = 0
+    while True:
+        m = DIGITS.search(text, at)
+        if not m:
+            return
+        chain = [m.span()]
+        while (joint := JOINT.match(text, chain[-1][1])) and (m := DIGITS.match(text, joint.end())):
+            chain.append(m.span())
+        at = chain[-1][1]
+        if text[chain[0][0] - 1 : chain[0][0]].isalpha() or text[at : at + 1].isalpha():
+            continue  # a part of a longer token
+        sizes = [sum(c.isdigit() for c in text[a:b]) for a, b in chain]
+        for limit in (15, 19):
+            end, total, before = 0, 0, -1
+            for k in range(len(chain)):
+                if end < k:
+                    end, total = k, 0
+                while end < len(chain) and total + sizes[end] <= limit:
+                    total += sizes[end]
+                    end += 1
+                if total >= 7 and end > before and (limit == 15 or total > 15):
+                    yield chain[k][0], chain[end - 1][1]
+                    before = end
+                total -= sizes[k] if end > k else 0
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int, list[float]]]:
-    """Kind, bounds and features; spans may overlap one another."""
-    if ("@" in text or "dot" in text or "DOT" in text) and WORDED_CUE.search(text):
-        for m in WORDED.finditer(text):
-            yield "email", *m.span(), features(text, *m.span(), "email")
+    """Kind, bounds and features; spans may overlap one another, and one span may be of two kinds."""
+    if AT.search(text):
+        for a, b in written_addresses(text):
+            yield "email", a, b, features(text, a, b, "email")
     if DIGIT.search(text):
-        for m in GROUPS.finditer(text):
-            if text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum():
-                continue  # a part of a longer token
-            n = len(DIGIT.findall(m.group()))
-            if 7 <= n <= 15:
-                yield "phone", *m.span(), features(text, *m.span(), "phone")
-            if 13 <= n <= 19:
-                yield "card", *m.span(), features(text, *m.span(), "card")
+        for pattern in (ADDRESS, HEXADECIMAL) if text.count(":") >= 7 else (ADDRESS,):
+            for m in pattern.finditer(text):
+                yield "ip", *m.span(), features(text, *m.span(), "ip")
+        for a, b in number_groups(text):
+            n = sum(map(str.isdigit, text[a:b]))
+            if n <= 15:
+                yield "phone", a, b, features(text, a, b, "phone")
+            if n >= 13:
+                yield "card", a, b, features(text, a, b, "card")
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     own, before, after = text[start:end], text[max(0, start - CONTEXT) : start].lower(), text[end : end + 2]
-    digits = "".join(DIGIT.findall(own))
-    parts = re.split(r"[^0-9]+", own.strip("()"))
-    words = re.findall(r"[^\W\d_]+[.]?", before)
+    parts = re.findall(r"[0-9]+", own)
+    digits = "".join(parts)
+    words = re.findall(r"[^\W\d_]+[.]?", before)[-4:]
+    low = own.lower()
     return [
         float(KINDS.index(kind)),
         float(len(digits)),
         float(len(parts)),
-        float(max(map(len, parts))),
+        float(max(map(len, parts), default=0)),
         float(own.count("-")),
         float(own.count(".")),
         float(own.count(" ")),
         float(own.count("/")),
-        float("(" in own),
+        float("(" in own or "[" in own or "{" in own),
         float(bool(digits) and luhn(digits)),
         float(digits.startswith("0")),
-        float(any(any(w.startswith(c) for c in CUES[kind]) for w in words[-4:])),
-        float(any(w.rstrip(".") in AGAINST or w in AGAINST for w in words[-4:])),
+        float(before.endswith("+")),
+        float(sum(map(octet, parts))),
+        float((" at " in low) + 2 * ("dot" in low)),
+        float(any(w.startswith(c) for w in words for c in CUES[kind])),
+        float(any(w.rstrip(".") in AGAINST or w in AGAINST for w in words)),
         float((before[-1:].isalnum()) + 2 * after[:1].isalnum()),
+        float(len(re.split(r"[^a-z]+", low)[-1])) if kind == "email" else 0.0,
     ]
 
 
@@ -150,7 +203,7 @@ class Boosted:
     """Gradient boosting of regression trees of depth three under logistic loss, with second-order leaf values."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, depth: int = 3):
-        self.cuts = [np.unique(x[:, k])[:-1] for k in range(x.shape[1])]
+        self.cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 17), method="lower"))[:-1] for k in range(x.shape[1])]
         self.trees: list = []
         f = np.zeros(len(y))
         for _ in range(rounds):
@@ -160,26 +213,29 @@ class Boosted:
             f += self._apply(tree, x)
         self.slope, self.offset = 1.0, 0.0
         self.thresholds: dict[str, float] = {}
+        #: Precision and recall on the fold that neither fits nor calibrates, by kind.
+        self.measured: dict[str, tuple[float, float]] = {}
 
     def _grow(self, x, g, h, rows, depth, rate):
         total_g, total_h = g[rows].sum(), h[rows].sum()
         best = (1e-6, None)
         if depth and len(rows) > 8:
+            own_g, own_h = g[rows], h[rows]
             for k, cuts in enumerate(self.cuts):
                 own = x[rows, k]
                 for cut in cuts:
                     low = own <= cut
-                    gl, hl = g[rows][low].sum(), h[rows][low].sum()
+                    gl, hl, n = own_g[low].sum(), own_h[low].sum(), int(low.sum())
                     gain = gl * gl / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
-                    if gain > best[0] and 4 <= low.sum() <= len(rows) - 4:
+                    if gain > best[0] and 4 <= n <= len(rows) - 4:
                         best = (gain, (k, cut, low))
         if best[1] is None:
-            return -rate * total_g / (total_h + 1)
+            return float(-rate * total_g / (total_h + 1))
         k, cut, low = best[1]
         return k, float(cut), self._grow(x, g, h, rows[low], depth - 1, rate), self._grow(x, g, h, rows[~low], depth - 1, rate)
 
     def _apply(self, tree, x):
-        return np.array([self._walk(tree, r) for r in x])
+        return np.array([self._walk(tree, r) for r in x.tolist()])
 
     @staticmethod
     def _walk(tree, row) -> float:
@@ -187,103 +243,219 @@ class Boosted:
             tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
         return tree
 
+    def margin(self, row) -> float:
+        return sum(self._walk(t, row) for t in self.trees)
+
     def probability(self, row) -> float:
-        z = self.slope * sum(self._walk(t, row) for t in self.trees) + self.offset
+        z = self.slope * self.margin(row) + self.offset
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
     def calibrate(self, x, y, kinds, precision: float) -> None:
-        z = np.array([sum(self._walk(t, r) for t in self.trees) for r in x])
+        """Platt's method on the margin; then the threshold of each kind, halfway between the last positive up to which
+        the precision holds and what comes after it."""
+        z = np.array([self.margin(r) for r in x.tolist()])
         a, b = 1.0, 0.0
-        for _ in range(200):  # Platt: logistic regression on the margin
+        low, high = (y.sum() and 1 / (len(y) - y.sum() + 2)), (y.sum() + 1) / (y.sum() + 2)
+        aim = np.where(y > 0, high, low)  # Platt's targets, which keep separable classes from running off
+        for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-            e = p - y
-            a, b = a - 0.05 * float((e * z).mean()), b - 0.2 * float(e.mean())
-        self.slope, self.offset = a, b
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
+            v = p * (1 - p) + 1e-9
+            g = np.array([((p - aim) * z).sum() + 1e-3 * (a - 1), (p - aim).sum()])
+            h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum()]])
+            a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -2, 2)
+        self.slope, self.offset = float(a), float(b)
+        p = np.array([self.probability(r) for r in x.tolist()])
         for kind in set(kinds):
             own = np.array([k == kind for k in kinds])
             order = np.argsort(-p[own], kind="stable")
-            right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-            good = np.flatnonzero(right >= precision)
-            self.thresholds[kind] = max(0.5, float(p[own][order][good[-1]])) if len(good) else 1.1
+            sorted_y, sorted_p = y[own][order], np.append(p[own][order], 0.0)
+            right = np.cumsum(sorted_y) / np.arange(1, len(order) + 1)
+            # Ties stay together: a cut may only come where the probability falls.
+            good = np.flatnonzero((right >= precision) & (sorted_y > 0) & (sorted_p[:-1] > sorted_p[1:]))
+            self.thresholds[kind] = float(sorted_p[good[-1]] + sorted_p[good[-1] + 1]) / 2 if len(good) else 1.1
+
+    def measure(self, x, y, kinds) -> None:
+        found = np.array([self.probability(r) >= self.thresholds.get(k, 1.1) for r, k in zip(x.tolist(), kinds, strict=True)], bool)
+        for kind in set(kinds):
+            own = np.array([k == kind for k in kinds])
+            hits = float((found & (y > 0) & own).sum())
+            self.measured[kind] = (hits / max(1.0, float((found & own).sum())), hits / max(1.0, float(((y > 0) & own).sum())))
 
 
-def examples(seed: int, n: int) -> Iterator[tuple[str, str, bool]]:
-    """Generated sentences: the kind that is asked about, a text with one marked value, and whether it is personal."""
-    import random
+# Training rows --------------------------------------------------------------------------------------------------
 
-    r = random.Random(seed)
-    filler = "alor bente cunda dore elvi fanto gira hols inde jorva".split()
-    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+#: Bounds of the fit: documents that are sampled by the hash of their ids, pieces taken from each, characters of a piece.
+FIT_DOCS = 3_000
+PIECES_PER_DOC = 6
+PIECE_CHARS = 64
+FIT, CALIBRATE, MEASURE = 0, 1, 2
+FILLER = "alor bente cunda dore elvi fanto gira hols inde jorva".split()
 
-    def card() -> str:
-        body = digits(15)
-        return next(body + d for d in "0123456789" if luhn(body + d))
+Piece = tuple[int, str, str, str, str]  # fold, kind (none: a candidate that no base pattern takes), before, own, after
 
-    for _ in range(n):
-        lead = " ".join(r.choices(filler, k=r.randint(2, 6))) + " "
-        tail = " " + " ".join(r.choices(filler, k=r.randint(1, 4)))
-        kind, personal = r.choice(("phone", "card", "email")), r.random() < 0.5
-        cue = r.choice(CUES[kind]) + r.choice((" ", ": ", " number ")) if kind != "email" else r.choice(CUES[kind]) + r.choice((" ", ": "))
-        if kind == "email":
-            name, host, top = r.choice(filler) + digits(r.randint(0, 2)), r.choice(filler), r.choice(("com", "org", "net", "example"))
-            at, dot = r.choice(((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("{at}", "{dot}")))
-            if personal:
-                yield kind, lead + (cue if r.random() < 0.8 or at == " at " else "") + name + at + host + dot + top + tail, True
-            else:
-                yield kind, lead + name + r.choice((" at ", " @ ")) + host + r.choice((". ", " . ")) + top + tail, False
-        elif kind == "phone":
-            if personal:
-                body = r.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)}/{digits(7)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"))
-                yield kind, lead + (cue if r.random() < 0.85 else "") + body + tail, True
-            else:
-                body = r.choice((f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", digits(9), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(3)}-{digits(4)}"))
-                yield kind, lead + (r.choice(AGAINST) + " " if r.random() < 0.5 else "") + body + tail, False
-        elif personal:
-            body = card()[:16]
-            yield kind, lead + cue + r.choice((body, ".".join((body[:4], body[4:8], body[8:12], body[12:])), "/".join((body[:4], body[4:8], body[8:12], body[12:])), body[:15])) + tail, True
-        else:
-            yield kind, lead + (r.choice(AGAINST) + " " if r.random() < 0.6 else "") + r.choice((digits(13), digits(16), ".".join(digits(4) for _ in range(4)))) + tail, False
 
+def pieces_of(text: str, fold: int) -> Iterator[Piece]:
+    """Base spans and other candidates of a text with what stands around them."""
+    base = base_spans(text)
+    spans = [("", *s) for s in base]
+    taken = merged_bounds(base)
+    spans += [("none-", k, a, b) for k, a, b, _ in candidates(text) if not overlaps(taken, a, b)]
+    counts: dict[str, int] = {}
+    for mark, kind, a, b in spans:
+        name = mark + kind
+        counts[name] = counts.get(name, 0) + 1
+        if b - a <= PIECE_CHARS and counts[name] <= PIECES_PER_DOC:
+            yield fold, name, text[max(0, a - PIECE_CHARS) : a], text[a:b], text[b : b + PIECE_CHARS // 4]
+
+
+def value(kind: str, r: random.Random) -> str:
+    """A personal value as the base patterns know it."""
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    if kind == "email":
+        return f"{r.choice(FILLER)}{digits(r.randint(0, 2))}@{r.choice(FILLER)}.{r.choice(('com', 'org', 'net', 'example'))}"
+    if kind == "ip":
+        return ".".join(str(r.randint(1, 254)) for _ in range(4))
+    if kind == "card":
+        body = r.choice("3456") + digits(14)
+        return next(body + d for d in "0123456789" if luhn(body + d))
+    return f"+{r.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}"
 
-@lru_cache(maxsize=1)
-def model(n: int = 1200, precision: float = 0.985) -> Boosted:
-    """Trees fitted on one generated half and calibrated on another."""
-
-    def rows(seed):
-        x, y, kinds = [], [], []
-        for kind, text, personal in examples(seed, n):
-            found = [c for c in candidates(text) if c[0] == kind]
-            if found:
-                x.append(max(found, key=lambda c: c[2] - c[1])[3])
-                y.append(float(personal))
+
+def perturbed(kind: str, own: str, r: random.Random) -> str:
+    """The value in a form that the base patterns don't take."""
+    digits = "".join(DIGIT.findall(own))
+    if kind == "email":
+        local, _, host = own.partition("@")
+        at, dot = r.choice(((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("{at}", "{dot}"), (" (at) ", "."), (" @ ", " dot ")))
+        return local + at + host.replace(".", dot)
+    if kind == "ip":
+        return own.replace(".", r.choice((" . ", "[.]", "(.)", "[dot]", "(dot)", ". ")))
+    if kind == "card":
+        return r.choice(".////")[:1].join(digits[k : k + 4] for k in range(0, len(digits), 4)) if r.random() < 0.8 else "  ".join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    d = digits[-10:].rjust(10, "5")
+    return r.choice((f"({d[:3]}) {d[3:6]}-{d[6:]}", f"0{d[:3]} {d[3:6]} {d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"0{d[:2]}/{d[2:9]}", f"0{d[0]} {d[1:3]} {d[3:5]} {d[5:7]} {d[7:9]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"))
+
+
+def near_miss(kind: str, r: random.Random) -> str:
+    """What looks like the kind and isn't."""
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    if kind == "email":
+        return f"{r.choice(FILLER)} at {r.choice(FILLER)}{r.choice(('. ', ' . ', '.'))}{r.choice(FILLER).capitalize()}"
+    if kind == "ip":
+        parts = [str(r.randint(0, 999)) for _ in range(4)]
+        parts[r.randrange(4)] = str(r.randint(256, 999))
+        return r.choice((". ", " . ", "[.]")).join(parts)
+    if kind == "card":
+        body = digits(16)
+        body = body if not luhn(body) else body[:-1] + str((int(body[-1]) + 1) % 10)
+        return r.choice((body, ".".join(body[k : k + 4] for k in range(0, 16, 4)), "/".join(body[k : k + 4] for k in range(0, 16, 4)), digits(13)))
+    return r.choice((f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", digits(r.randint(7, 15)), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(3)}-{digits(4)}", f"{digits(4)}.{digits(4)}"))
+
+
+def training_rows(pieces: list[Piece], fold: int, n: int):
+    """Features, labels and kinds: personal values from the pieces (or made up) in forms that the base patterns miss, set
+    into the pieces' own surroundings, against near misses and the pieces that no base pattern takes."""
+    r = random.Random(97 + fold)
+    own = [p for p in pieces if p[0] == fold]
+    around = [(p[2], p[4]) for p in own] or [(" ".join(r.choices(FILLER, k=4)) + " ", " " + " ".join(r.choices(FILLER, k=3))) for _ in range(40)]
+    x, y, kinds = [], [], []
+
+    def add(kind: str, before: str, middle: str, after: str, personal: bool) -> None:
+        text = before + middle + after
+        for k, a, b, row in candidates(text):
+            if k == kind and a < len(before) + len(middle) and b > len(before):
+                x.append(row)
+                y.append(float(personal and (a, b) == (len(before), len(before) + len(middle))))
                 kinds.append(kind)
-        return np.array(x), np.array(y), kinds
 
-    x, y, _ = rows(11)
+    for kind in KINDS:
+        values = [p[3] for p in own if p[1] == kind]
+        for _ in range(n):
+            before, after = r.choice(around)
+            before = (before.rstrip("+") if before.endswith((" ", "\n")) else before + " ")
+            after = after if not after[:1].isalnum() else " " + after
+            cue = r.choice(CUES[kind]) + r.choice((" ", ": ", " number "))
+            if r.random() < 0.4:
+                good = perturbed(kind, r.choice(values) if values and r.random() < 0.5 else value(kind, r), r)
+                lead = cue if r.random() < 0.75 or (kind == "email" and " at " in good) else ""
+                add(kind, before + lead, good, after, True)
+            elif r.random() < 0.3 and kind != "email":
+                add(kind, before + r.choice(AGAINST) + " ", perturbed(kind, value(kind, r), r), after, False)
+            else:
+                add(kind, before + (r.choice(AGAINST) + " " if r.random() < 0.4 else ""), near_miss(kind, r), after, False)
+    for _, name, before, middle, after in own:
+        if name.startswith("none-"):
+            add(name[5:], before, middle, after, False)
+    return np.array(x), np.array(y), kinds
+
+
+def fitted(pieces: list[Piece], n: int = 500, precision: float = 0.985) -> Boosted:
+    """Trees from the pieces of the first fold, calibrated on the second's, measured on the third's."""
+    x, y, _ = training_rows(pieces, FIT, n)
     m = Boosted(x, y)
-    x, y, kinds = rows(12)
-    m.calibrate(x, y, kinds, precision)
+    m.calibrate(*training_rows(pieces, CALIBRATE, n), precision)
+    m.measure(*training_rows(pieces, MEASURE, n))
     return m
 
 
+@lru_cache(maxsize=1)
+def model() -> Boosted:
+    """The judge where there are no documents to learn from: all values and surroundings are made up."""
+    return fitted([])
+
+
+def learn(docs: DataFrame, max_docs: int = FIT_DOCS) -> Boosted:
+    """The judge fitted on pieces of at most about ``max_docs`` documents, which are taken by the hash of their ids."""
+    rows = text_rows(docs).filter("doc_id IS NOT NULL")
+    n = rows.count()
+    if not n:
+        return model()
+    ship(docs.sparkSession)
+    share = int(2**31 * min(1.0, max_docs / n))
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share).withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 3)
+
+    def harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            found = [p for text, fold in zip(arrow_strings(batch, "text"), batch.column("fold").to_pylist(), strict=True) for p in pieces_of(text, fold)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64())] + [pa.array([p[k] for p in found], pa.string()) for k in range(1, 5)], names=["fold", "kind", "before", "own", "after"])
+
+    # PIECES_PER_DOC short pieces of each kind and sampled document at most.
+    found = sample.select("text", "fold").mapInArrow(harvest, "fold long, kind string, before string, own string, after string").toArrow().to_pylist()
+    return fitted(sorted((p["fold"], p["kind"], p["before"], p["own"], p["after"]) for p in found))
+
+
+# Selection ------------------------------------------------------------------------------------------------------
+
+
+def merged_bounds(spans) -> list[tuple[int, int]]:
+    """Disjoint stretches in order that the spans (kind, start, end) cover."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(s[-2:] for s in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    k = bisect_left(taken, (b,))  # the first that starts at b or after it
+    return k > 0 and taken[k - 1][1] > a
+
+
 def added_spans(text: str, base: list[Span], judge: Boosted) -> list[Span]:
     """Candidates that the trees accept, likeliest first, where they overlap neither base spans nor one another."""
+    taken = merged_bounds(base)
     passed = []
     for kind, a, b, row in candidates(text):
-        p = judge.probability(row)
-        if p >= judge.thresholds.get(kind, 1.1):
-            passed.append((-p, a, b, kind))
-    if not passed:
-        return []
-    taken = sorted((a, b) for _, a, b in base)
+        if not overlaps(taken, a, b):
+            p = judge.probability(row)
+            if p >= judge.thresholds.get(kind, 1.1):
+                passed.append((-p, a, b, kind))
     out = []
-    from bisect import bisect_left, insort
-
     for _, a, b, kind in sorted(passed):
-        k = bisect_left(taken, (a, b))
-        # Base spans of different kinds may overlap one another, so look back as far as any of them reaches.
-        if all(e <= a for _, e in taken[max(0, k - 8) : k]) and (k == len(taken) or taken[k][0] >= b):
+        if not overlaps(taken, a, b):
             out.append((kind, a, b))
             insort(taken, (a, b))
     return out
@@ -300,10 +472,11 @@ def written(spans: list[Span]) -> str:
     return ",".join([f"{k}:{a}:{b}" for k, a, b in spans])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, the base spans' digest and all spans of every document; one pass, no shuffle."""
+def scan(docs: DataFrame, judge: Boosted | None = None) -> DataFrame:
+    """doc_id, counts by kind, the base spans' digest and all spans of every document; one pass, no shuffle. Without a
+    judge one is learned from the documents."""
     ship(docs.sparkSession)
-    judge = model()
+    judge = judge or learn(docs)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -339,10 +512,11 @@ def redacted(text: str, judge: Boosted) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row and column, with the personal data in the text replaced; a null text stays null."""
+def redact(docs: DataFrame, text: str = "text", judge: Boosted | None = None) -> DataFrame:
+    """Every row and column, with the personal data in the text replaced; a null text stays null. Without a judge one is
+    learned from the documents."""
     ship(docs.sparkSession)
-    judge = model()
+    judge = judge or learn(docs)
 
     @F.pandas_udf("string")
     def clean(s):

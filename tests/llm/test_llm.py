@@ -249,12 +249,35 @@ def test_pii_added(spark):
     assert pii.redacted("x a@b.cd y", pii.model()) == "x [EMAIL] y"
 
 
+def test_pii_judge(spark):
+    """Precision and recall on the fold that neither fits nor calibrates, and what the trees add and don't add."""
+    judge = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert set(judge.thresholds) == set(pii.KINDS) and all(0 < t < 1 for t in judge.thresholds.values()) and len(set(judge.thresholds.values())) > 1
+    assert all(p > 0.95 and r > 0.9 for p, r in judge.measured.values())
+    for text, found in (("order 415-555-2671", ""), ("call 415-555-2671 now", "phone:5:17"), ("server 10[.]2[.]3[.]4 up", "ip:7:21"), ("mail alor (At) bente (Dot) com", "email:5:30"), ("we look at home. The rest", "")):
+        assert pii.written(pii.find(text, judge)[1]) == found, text
+
+
+def test_pii_selection():
+    """What is added, against choosing the likeliest free candidate again and again."""
+    judge, r = pii.model(), random.Random(13)
+    for _ in range(300):
+        text = " ".join(r.choice(["call", "030 123 4567", "4111.1111.1111.1111", "a at b dot com", "x@y.zz", "1.2.3.4", "10[.]2[.]3[.]4", "order", "card", "12", "+1 (017) 555-7713", "0171/2345678"]) for _ in range(r.randint(1, 12)))
+        base, every = pii.find(text, judge)
+        left = [(-judge.probability(row), a, b, k) for k, a, b, row in pii.candidates(text) if judge.probability(row) >= judge.thresholds[k]]
+        want = list(base)
+        while left := [c for c in left if all(c[2] <= a or b <= c[1] for _, a, b in want)]:
+            _, a, b, k = min(left)
+            want.append((k, a, b))
+        assert set(every) == set(want) and len(every) == len(want), text
+
+
 def test_pii_query(spark, docs):
     got = {r["doc_id"]: r for r in queries.QUERIES["op5_pii"](spark, DIR).toArrow().to_pylist()}
     for d in docs:
         spans = private(d["text"])
         g = got[d["doc_id"]]
-        assert g["base_sha256"] == sha(pii.written(spans)) and g["n_email"] == sum(s[0] == "email" for s in spans)
+        assert g["base_sha256"] == sha(pii.written(spans)) and [g[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in spans) for k in pii.KINDS]
         assert set(pii.written(spans).split(",")) - {""} <= set(g["spans"].split(","))
 
 
@@ -444,5 +467,5 @@ def test_pipeline(spark):
     assert 0 < len(got) < len(text) and max(map(len, groups.values())) == 1
     leaks = {r["doc_id"] for r in queries.QUERIES["op4_decontamination"](spark, DIR).toArrow().to_pylist()}
     assert not leaks & got.keys()
-    judge = pii.model()
+    judge = pii.learn(docs)
     assert all(g["decoded_sha256"] == sha(pii.redacted(text[i], judge)) for i, g in got.items())
