@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -317,10 +318,10 @@ def test_fingerprints_of_long_texts():
 
 def test_automaton():
     r = random.Random(6)
-    text = "".join(r.choice("abc") for _ in range(200))
+    text = bytes(r.choice(b"abc") for _ in range(200))
     a = langid.SuffixAutomaton(text)
     for _ in range(300):
-        s = "".join(r.choice("abcd") for _ in range(r.randint(0, 12)))
+        s = bytes(r.choice(b"abcd") for _ in range(r.randint(0, 12)))
         n, at = 0, 0
         while at < len(s):
             k = 1
@@ -330,6 +331,41 @@ def test_automaton():
         assert a.phrases(s) == n
 
 
+def naive_phrases(text, known):
+    n, at = 0, 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in known:
+            k += 1
+        n, at = n + 1, at + k
+    return n
+
+
+def test_language_parse(spark, docs):
+    """The query's answers, for texts of all lengths, against a plain longest-match parse of running text."""
+    table = spark.read.parquet(f"{DIR}/documents.parquet")
+    pieces = langid.learn(table, exclude=(4, 2))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_language"](spark, DIR).toArrow().to_pylist()}
+    known = {k: b"\n".join(map(langid.running, v)) for k, v in pieces.items()}
+    crossing = 0
+    for d in [*sorted(docs, key=lambda d: len(d["text"]))[::5]]:
+        own = langid.running(d["text"])
+        blocks = [own[at : at + langid.BLOCK] for at in range(0, len(own), langid.BLOCK)]
+        bits = {k: sum(naive_phrases(b, v) for b in blocks) * math.log2(len(v)) / len(own) for k, v in known.items()}
+        best = min(sorted(bits), key=bits.get)
+        second = sorted(bits.values())[1]
+        assert got[d["doc_id"]]["lang_pred"] == best and abs(got[d["doc_id"]]["score"] - (1 - bits[best] / (bits[best] + second))) < 1e-9
+        crossing += naive_phrases(own, known[best]) < len(own.split())
+    assert crossing  # some texts fall into fewer phrases than words: phrases cross spaces
+
+
+def test_language_ties():
+    """Languages that explain a text equally well go by name; a text without a letter of any of them is parsed too."""
+    parser = langid.Parser({"bb": ["alor bente"], "aa": ["alor bente"]})
+    assert list(parser.predict(["alor", "日本", "12 _ !", None])) == [("aa", 0.5), ("aa", 0.5), ("und", 0.0), ("und", 0.0)]
+    assert list(langid.Parser({}).predict(["alor"])) == [("und", 0.0)]
+
+
 def test_language_query(spark):
     d = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").toArrow().to_pylist()}
