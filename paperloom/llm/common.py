@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import gc
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -20,13 +19,18 @@ _SHIPPED: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The folder that the session names in spark.checkpoint.dir, with its scheme: a path without one belongs to the
+    cluster's default file system. Where it is unset a fresh local folder serves a local session; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="paperloom-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return root if "://" in root else f"file://{os.path.abspath(root)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 class Scratch:
@@ -73,6 +77,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[app] = str(path)
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """A kept copy of the rows with a number of their own, and the name of its column, which clashes with none."""
+    name = "row_number_"
+    while name in docs.columns:
+        name += "_"
+    return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone; a null text counts as empty. Other columns, whatever their names, play no part."""
     return docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))

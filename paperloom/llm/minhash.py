@@ -5,7 +5,7 @@ numbers make all ``COORDINATES`` of a signature: coordinate k is the least pi(si
 shifted circularly by one place for each coordinate. ``BANDS`` bands of ``ROWS`` coordinates give buckets; a pair at
 the threshold of 0.8 shares none with a probability of (1 - 0.8^4)^32 = 5e-8.
 
-Documents with equal sets form a class that its least doc_id stands for. In every bucket the members are verified on
+Documents with equal sets form a class that the row of its least doc_id stands for. In every bucket the members are verified on
 their full sets against one pivot, the member that meets most others in buckets, and links make components. What is
 left are pairs of different components that share a bucket. Let c be what a member has in common with the bucket's
 pivot and x the shingles it has besides: two members have at most min(c, c') shingles of the pivot in common, so a pair
@@ -17,8 +17,10 @@ are listed, and no link between different texts is lost.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Defined cases: a null or empty text or one of white space
 has no shingles and is linked with nothing; one with fewer words than a shingle has the whole sequence as its one
-shingle; a row without doc_id has no component and is kept; rows that repeat a doc_id belong to the class of their own
-text. Other columns are ignored, or kept by ``drop_duplicates``.
+shingle; a row without doc_id has the class of its text like any other, and a component_id only if that class has an id;
+rows that repeat a doc_id belong to the class of their own text, for all joins go by row numbers. ``drop_duplicates``
+keeps one row of each component, that of the least doc_id (rows without one come last; of equals the first in the table),
+and all columns.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, arrow_strings, no_cycles, release, ship, text_rows
+from paperloom.llm.common import Scratch, arrow_strings, no_cycles, numbered, release, ship, text_rows
 from paperloom.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -40,6 +42,8 @@ CACHE_WORDS = 200_000
 MAP_BITS = 256
 MAP_WORDS = MAP_BITS // 64
 AT_ONCE = 256
+#: Pairs with one pivot that a task may get at least.
+SLICE = 256
 
 U32, U64 = np.uint32, np.uint64
 
@@ -117,9 +121,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, cls (128 bits of the set's hash) and bands."""
-    ship(docs.sparkSession)
+def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """Of (row, doc_id, text): row, doc_id, n_shingles, cls (128 bits of the set's hash) and bands."""
+    ship(rows.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycles():
@@ -137,21 +141,23 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                         cls.append(None)
                         bands.append(None)
                 kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((sizes, cls, bands), kinds, strict=True))], names=["doc_id", "n_shingles", "cls", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(x, t) for x, t in zip((sizes, cls, bands), kinds, strict=True))], names=["row", "doc_id", "n_shingles", "cls", "bands"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_rows(docs).mapInArrow(sketch, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(sketch, f"row long, doc_id {kind}, n_shingles long, cls binary, bands array<long>")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with whether their full sets have 100 * intersection >= percent * union, the intersection's
-    size, a prefix of the sorted shingles of b that a lacks, as long as a link between b and another can need, a's size,
-    the number of the shingles that only one of the two has, and a 256-bit map of those."""
-    texts = text_rows(docs)
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = texts.join(needed, "doc_id", "left_semi")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def compared(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of row numbers with whether their full sets have 100 * intersection >= percent * union, the
+    intersection's size, a prefix of the sorted shingles of b that a lacks, as long as a link between b and another can
+    need, a's size, the number of the shingles that only one of the two has, and a 256-bit map of those.
+
+    The text of an a with many pairs is copied to as many salts as its pairs fill slices of ``SLICE``, so no task gets
+    all pairs of one."""
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    salted = pairs.join(slices, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int")).select("a", "b", "salt")
+    texts_a = rows.select(F.col("row").alias("a"), F.col("text").alias("text_a")).join(slices, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    rows = salted.join(rows.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts_a, ["a", "salt"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -180,47 +186,58 @@ def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
                 names=["a", "b", "linked", "c", "novel", "pivot_n", "d", "bits"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}, linked boolean, c long, novel array<long>, pivot_n long, d long, bits array<long>")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, linked boolean, c long, novel array<long>, pivot_n long, d long, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, one row for each row."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
-    every = scratch.keep(sketches(docs, shingle), "sketches")
-    thin = every.select("doc_id", "n_shingles", "cls")
-    ids = scratch.keep(thin.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = every.join(ids.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi")
-    placed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    found = grouped(numbered(text_rows(docs), scratch), "doc_id", "text", shingle, percent, scratch)
+    out = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def grouped(numbers: tuple[DataFrame, str], key: str, text: str, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and stays (whether the row is the one that its component keeps) of a kept
+    table of rows with numbers. Classes and components go by the number of a row that stands for them."""
+    table, number = numbers
+    rows = table.select(F.col(number).alias("row"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    every = scratch.keep(sketches(rows, shingle), "sketches")
+    thin = every.select("row", "doc_id", "n_shingles", "cls")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    classes = scratch.keep(thin.filter("n_shingles > 0").groupBy("cls").agg(F.min(first).alias("first")).withColumn("rep", F.col("first.row")), "classes")
+    reps = every.join(classes.select("cls", F.col("rep").alias("row")), ["cls", "row"], "left_semi")
+    placed = reps.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     met = placed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low < high").select("bucket", "met")
     buckets = scratch.keep(placed.join(met, "bucket"), "buckets")
-    if not buckets.limit(1).count():
-        return _placed(thin, ids, None)
+    if buckets.isEmpty():
+        return _placed(thin, classes, None)
     meetings = buckets.groupBy("id").agg(F.sum("met").alias("meetings"))
     pivots = buckets.join(meetings, "id").groupBy("bucket").agg(F.max(F.struct("meetings", (-F.col("id")).alias("minus"))).alias("best"))
     members = scratch.keep(buckets.select("bucket", "id", "n").join(pivots.select("bucket", (-F.col("best.minus")).alias("pivot")), "bucket").filter("id != pivot"), "members")
     scratch.drop("buckets")
-    pairs = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = scratch.keep(compared(pairs, docs, shingle, percent), "first")
-    links = first.filter("linked").select("a", "b")
-    roots = components(links, scratch, "roots")
-    left = scratch.keep(_left_over(members, first, roots, percent), "left")
-    if left.limit(1).count():
-        more = scratch.keep(compared(left, docs, shingle, percent).filter("linked").select("a", "b"), "more")
-        if more.limit(1).count():
+    pairs = scratch.keep(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    known = scratch.keep(compared(pairs, rows, shingle, percent), "first")
+    scratch.drop("pairs")
+    roots = components(known.filter("linked").select("a", "b"), scratch, "roots")
+    left = scratch.keep(_left_over(members, known, roots, percent), "left")
+    if not left.isEmpty():
+        more = scratch.keep(compared(left, rows, shingle, percent).filter("linked").select("a", "b"), "more")
+        if not more.isEmpty():
             # The components so far are kept as stars: each node with its component's least node.
             roots = components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), scratch, "all-roots")
-    return _placed(thin, ids, roots)
+    return _placed(thin, classes, roots)
 
 
-def _placed(thin: DataFrame, ids: DataFrame, roots: DataFrame | None) -> DataFrame:
-    out = thin.join(ids, "cls", "left")
-    root = F.col("rep")
+def _placed(thin: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is not None:
-        out = out.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        root = F.coalesce("root", "rep")
-    out = out.select("doc_id", "n_shingles", F.coalesce(root, "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        own = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        # Links join different classes, so a component's classes are few against its rows, which the classes sum up.
+        best = own.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")).filter("n > 1").select("root", "best")
+        classes = own.join(best, "root", "left").select("cls", F.coalesce("best", "first").alias("first"))
+    out = thin.join(classes.select("cls", "first"), "cls", "left")
+    stays = F.coalesce(F.col("row") == F.col("first.row"), F.lit(True))
+    return out.select("row", "doc_id", "n_shingles", F.col("first.id").alias("component_id"), stays.alias("stays"))
 
 
 def _left_over(members: DataFrame, first: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +279,8 @@ def _left_over(members: DataFrame, first: DataFrame, roots: DataFrame, percent:
 
 
 def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns as they are, of the document that is kept of each component."""
-    found = near_duplicates(docs, shingle, percent)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows, all columns as they are, that their components keep: one of each component."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    table, number = numbered(docs, scratch)
+    gone = grouped((table, number), "doc_id", "text", shingle, percent, scratch).filter(~F.col("stays")).select(F.col("row").alias(number))
+    return table.join(gone, number, "left_anti").select(*docs.columns)
