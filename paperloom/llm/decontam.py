@@ -14,7 +14,8 @@ The hits come from an equi-join. The benchmark's side is broadcast if the count
 is at most ``BROADCAST_SEEDS``; beyond that the documents' hashes are shuffled and their words joined again by row.
 
 Defined cases: null or empty texts, documents or items, have no matches; repeated rows give repeated work but one result
-row for each (doc_id, item_id); rows without an id are left out; other columns are ignored.
+row for each (doc_id, item_id); ``find`` leaves out rows without an id, ``clean`` goes by row and judges them like any
+other; other columns are ignored, or kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch
+from paperloom.llm.common import Scratch, numbered
 
 #: Places that each mask keeps; every mask keeps five, the first among them.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
@@ -128,6 +129,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows, all columns as they are, of documents in which no item is found."""
-    found = find(docs, benchmark, similarity).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows, all columns as they are, in whose text no item is found; items without an id count too."""
+    scratch = Scratch(docs.sparkSession, "decontam")
+    table, number = numbered(docs, scratch)
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_id"), "text")
+    found = find(table.select(F.col(number).alias("doc_id"), "text"), items, similarity, scratch=scratch).select(F.col("doc_id").alias(number)).distinct()
+    return table.join(found, number, "left_anti").select(*docs.columns)
