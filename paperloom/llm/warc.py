@@ -74,7 +74,7 @@ def clean(url: str) -> str:
 
 
 def write(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, name: str = "archives") -> DataFrame:
-    """Write the archives; returns their paths and sizes, from a table that is kept."""
+    """Write the archives; returns their paths, sizes and numbers of records, from a table that is kept."""
     ship(pages.sparkSession)
     rows = pages.select("page_id", F.coalesce(pages["url"] if "url" in pages.columns else F.lit(None), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "utf-8"))))
@@ -86,7 +86,7 @@ def write(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, name: str = "a
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(folder)
-        path, size, out = None, 0, None
+        path, size, out, n = None, 0, None, 0
         for batch in batches:
             for page, url, html, first in zip(*(batch.column(c) for c in ("page_id", "url", "html", "first_id")), strict=True):
                 if out is None:
@@ -97,11 +97,12 @@ def write(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, name: str = "a
                 data = record(page, url.as_py(), html.as_py().encode(), first, first is not None and page != first)
                 out.write(data)
                 size += len(data)
+                n += 1
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([size], pa.int64())], names=["path", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([size], pa.int64()), pa.array([n], pa.int64())], names=["path", "size", "n_records"])
 
-    return scratch.keep(joined.select("page_id", "url", "html", "first_id").mapInArrow(archive, "path string, size long"), f"{name}-list")
+    return scratch.keep(joined.select("page_id", "url", "html", "first_id").mapInArrow(archive, "path string, size long, n_records long"), f"{name}-list")
 
 
 def header_at(data: bytes) -> dict[str, str] | None:
@@ -124,7 +125,7 @@ class Stretch:
     """Bytes of a file from a moving place on, read in blocks; memory is one member's at most."""
 
     def __init__(self, stream, at: int, size: int):
-        self.stream, self.size, self.start, self.data = stream, size, at, b""
+        self.stream, self.size, self.start, self.data = stream, size, at, bytearray()
         stream.seek(at)
 
     def more(self) -> bool:
@@ -133,7 +134,8 @@ class Stretch:
         return bool(got)
 
     def drop(self, to: int) -> None:
-        self.data, self.start = self.data[to - self.start :], to
+        del self.data[: to - self.start]  # in place, as more() adds in place: a long member isn't copied for every block
+        self.start = to
 
 
 VERSION = b"WARC/1."
@@ -202,7 +204,8 @@ def read_range(stream, size: int, start: int, end: int) -> Iterator[tuple[dict[s
 
 
 def read(archives: DataFrame, split: int = SPLIT) -> DataFrame:
-    """One row for each record of the archives (path, size): what its header says, and its payload."""
+    """One row for each record of the archives (path, size): what its header says, its payload, and the payload's own
+    digest (a revisit has that of its header)."""
     ship(archives.sparkSession)
 
     parts = archives.filter("size > 0").select("path", F.col("size").cast("long").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size").cast("long") - 1, F.lit(split).cast("long"))).alias("start"))
@@ -218,7 +221,7 @@ def read(archives: DataFrame, split: int = SPLIT) -> DataFrame:
                     for head, block in read_range(stream, row["size"], row["start"], min(row["size"], row["start"] + split)):
                         payload = block[block.find(b"\r\n\r\n") + 4 :] if head["warc-type"] == "response" else None
                         size += len(block)
-                        out.append((head.get(PAGE.lower()), head["warc-type"], head.get("warc-target-uri"), int(head.get(LENGTH.lower(), -1)), head.get("warc-payload-digest", "").removeprefix("sha1:"), head.get(REFERS.lower()), payload, row["path"]))
+                        out.append((head.get(PAGE.lower()), head["warc-type"], head.get("warc-target-uri"), int(head.get(LENGTH.lower(), -1)), head.get("warc-payload-digest", "").removeprefix("sha1:") if payload is None else digest(payload), head.get(REFERS.lower()), payload, row["path"]))
                         if size > 8 << 20:
                             yield batch_of(out)
                             out, size = [], 0
