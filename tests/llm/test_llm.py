@@ -307,6 +307,20 @@ def test_one_fingerprint(spark):
     assert len(r) == 1 and r[0].near_next == 1.0
 
 
+def test_fingerprint_paths(monkeypatch):
+    """The numbered words, the edited text by its parts and texts of many words all give the signature of the words alone,
+    also while the tables are given up again and again."""
+    monkeypatch.setattr(fingerprints, "MAX_WORDS", 120)
+    monkeypatch.setattr(fingerprints, "CACHE_ROWS", 90)
+    monkeypatch.setattr(fingerprints, "MANY_WORDS", 30)
+    pair, r = fingerprints.Pairing(), random.Random(12)
+    texts = ["".join(r.choice(["a", "b", "é", " ", "\n", "\x85", " c ", f"w{r.randrange(60)} "]) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    for got, a, b in zip(pair.rows(zip(range(400), texts, texts[1:], strict=False)), texts, texts[1:], strict=False):
+        changed = fingerprints.edited(a, b)
+        want = [fingerprints.Sampler.of_many(t.encode().split()) if t.encode().split() else None for t in (a, changed)]
+        assert got[2:5] == (sha(changed), *map(fingerprints.hexed, want)), (a, b)
+
+
 def test_fingerprints_of_long_texts():
     """Texts of many words, none of them common, are not alike."""
     own = fingerprints.Sampler()
