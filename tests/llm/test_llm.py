@@ -501,12 +501,12 @@ def test_secrets_query(spark, docs):
 # 10 ---------------------------------------------------------------------------------------------------------------
 
 
-def linked(texts):
+def linked(texts, size=2):
     """Component of every text by comparing all sets."""
     sets = []
     for t in texts:
         w = t.encode().lower().split()
-        sets.append(set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
     root = list(range(len(texts)))
     for i in range(len(sets)):
         for j in range(i):
@@ -542,6 +542,86 @@ def test_minhash_query(spark, docs):
         assert (g["n_shingles"], g["component_id"], g["kept"]) == (n, docs[root]["doc_id"], docs[root]["doc_id"] == d["doc_id"])
 
 
+def test_repeated_ids(spark):
+    """Rows that share an id, have none or repeat each other: classes go by text, and one row of each component stays."""
+    a, c = prose(31, 40), prose(32, 40)
+    rows = [(1, a), (5, c), (5, a + " zz"), (7, c), (8, prose(33, 30)), (8, prose(33, 30)), (None, prose(34, 30)), (None, prose(34, 30)), (None, a), (9, ""), (9, "")]
+    d = frame(spark, rows, extra=False)
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(d, 2).collect()), key=str)
+    want = [(1, 1), (5, 5), (5, 1), (7, 5), (8, 8), (8, 8), (0, None), (0, None), (0, 1), (9, 9), (9, 9)]
+    assert sorted((k, root) for k, _, root, _ in got if root) == sorted(w for w in want if w[1]) and sum(root is None for _, _, root, _ in got) == 2
+    stay = minhash.drop_duplicates(d, 2)
+    assert stay.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text) for r in stay.collect()) == sorted([(1, a), (5, c), (8, prose(33, 30)), (0, prose(34, 30)), (9, ""), (9, "")])
+
+
+def test_near_dedup_shingles(spark, docs):
+    """Components by five-word shingles, as the pipeline has them, against all pairs."""
+    docs = sorted(docs, key=lambda d: d["doc_id"])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.read.parquet(f"{DIR}/documents.parquet"), 5).collect()}
+    assert [got[d["doc_id"]] for d in docs] == [docs[root]["doc_id"] for _, root in linked([d["text"] for d in docs], 5)]
+
+
+def test_hot_pivot(spark, monkeypatch):
+    """A pivot with more pairs than a slice holds gives the same components."""
+    monkeypatch.setattr(minhash, "SLICE", 3)
+    base, r = prose(35, 80).split(), random.Random(14)
+    texts = [" ".join(w for w in base if r.random() > 0.04) for _ in range(40)]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, list(enumerate(texts)), extra=False), 2).collect()}
+    assert [got[k] for k in range(40)] == [root for _, root in linked(texts)]
+
+
+def test_clean_rows(spark):
+    """The stage judges rows without an id and rows that share one each by its own text."""
+    item = prose(36, 30)
+    rows = [(None, "x " + item), (None, prose(37, 20)), (3, item + " y"), (3, prose(38, 20)), (4, None), (5, "")]
+    items = spark.createDataFrame([(None, item), (2, None)], "item_id long, text string")
+    got = decontam.clean(frame(spark, rows, extra=False), items)
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(0, prose(37, 20)), (3, prose(38, 20)), (4, ""), (5, "")])
+
+
+def test_warc_rows(spark):
+    """The query over the tables, row by row, and as many records as were written, with urls of any length."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = sorted(table.toArrow().to_pylist(), key=lambda p: p["page_id"])
+    got = {r["page_id"]: r for r in queries.QUERIES["op8_warc"](spark, "/root/testdata/sf0.01").toArrow().to_pylist()}
+    first = {}
+    for p in pages:
+        data = (p["html"] or "").encode()
+        root = first.setdefault(data, p["page_id"])
+        r = got[p["page_id"]]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if root == p["page_id"] else ("revisit", root))
+    odd = spark.createDataFrame([(k, "http://x/" + "u" * 90_000 * k, f"p{k}") for k in range(3)] + [(7, None, None)], "page_id long, url string, html string")
+    archives = warc.write(odd, Scratch(spark, "t"))
+    assert warc.read(archives).count() == sum(r.n_records for r in archives.collect()) == 4
+
+
+def test_bpe_query(spark, docs):
+    """The query against the tiktoken library on whole documents."""
+    import public_tokenizers as P
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_byte_bpe"](spark, DIR).toArrow().to_pylist()}
+    for d in docs:
+        ids = other.encode_ordinary(d["text"] or "")
+        g = got[d["doc_id"]]
+        assert (g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(d["text"] or ""))
+
+
+def test_toxicity_scores(spark, docs):
+    """The query's scores against a plain sum over the model's weights."""
+    table = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = toxicity.learn(table, spark.read.parquet(f"{DIR}/labels.parquet"), exclude=(5, 0))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op1_toxicity"](spark, DIR).toArrow().to_pylist()}
+    for d in docs:
+        own = set(re.findall(r"[^\W\d_]+", d["text"].lower()))
+        names = own | {"^" + w[:n] for w in own for n in (4, 5) if len(w) > n}
+        p = 1 / (1 + math.exp(-(model.bias + math.fsum(w for k, w in model.weights.items() if k in names))))
+        assert abs(got[d["doc_id"]]["score"] - p) < 1e-9 and got[d["doc_id"]]["predicted"] == int(p >= 0.5)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
