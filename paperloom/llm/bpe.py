@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -149,8 +150,9 @@ class ByteBpe:
         self.memory.update((c, f) for c, f in again.items() if len(c) <= CACHE_CHUNK_CHARS)
         return [f or again[c] for c, f in zip(chunks, found, strict=True)]
 
-    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
-        """Count of ids, and the digests of the ids' decimal text and of the decoded bytes, of each text in turn."""
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str, str]]:
+        """Count of ids, the digests of the ids' decimal text and of the decoded bytes, and that decimal text, of each text
+        in turn."""
         waiting: list[list[str]] = []
         size = 0
         for text in texts:
@@ -161,15 +163,15 @@ class ByteBpe:
                 waiting, size = [], 0
         yield from self._digests(waiting)
 
-    def _digests(self, lists: list[list[str]]) -> Iterator[tuple[int, str, str]]:
+    def _digests(self, lists: list[list[str]]) -> Iterator[tuple[int, str, str, str]]:
         found = iter(self.known([c for x in lists for c in x]))
         for x in lists:
             own = list(islice(found, len(x)))
-            ids, data = hashlib.sha256(" ".join([f[1] for f in own]).encode()), hashlib.sha256(b"".join([f[2] for f in own]))
-            yield sum([f[0] for f in own]), ids.hexdigest(), data.hexdigest()
+            ids = " ".join([f[1] for f in own])
+            yield sum([f[0] for f in own]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([f[2] for f in own])).hexdigest(), ids
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        return next(self.digests([text]))
+        return next(self.digests([text]))[:3]
 
 
 def load(path: str, pattern: str) -> ByteBpe:
@@ -188,25 +190,33 @@ def public_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; one pass, no shuffle.
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, and token_ids if wanted; one pass, no shuffle.
 
     ``vocabulary`` is the path of a rank file on every executor (None: the public one, found on each executor).
     """
     ship(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycles():
             bpe = load(vocabulary or public_path(), pattern or public_pattern())
             for batch in batches:
-                found = list(bpe.digests(arrow_strings(batch, "text")))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                n, ids, data, tokens = [], [], [], []
+                for found in bpe.digests(arrow_strings(batch, "text")):
+                    n.append(found[0])
+                    ids.append(found[1])
+                    data.append(found[2])
+                    if with_ids:
+                        tokens.append(np.array(found[3].split(), np.int32))
+                columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), np.concatenate([*tokens, np.empty(0, np.int32)])))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_rows(docs).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    return text_rows(docs).mapInArrow(digest, schema)
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

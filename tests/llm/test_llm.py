@@ -167,6 +167,8 @@ def test_bpe_round_trip(spark):
     d = frame(spark, [(1, prose(1, 30))])
     for r in bpe.decode(bpe.encode(d)).collect():
         assert bytes(r.decoded).decode() == (r.text or "")
+    plain = sorted((str(r.doc_id), r.token_ids) for r in bpe.encode(d).collect())
+    assert plain == sorted((str(r.doc_id), r.token_ids) for r in bpe.encode_documents(d, with_ids=True).collect())
 
 
 # 4 ----------------------------------------------------------------------------------------------------------------
@@ -637,5 +639,24 @@ def test_pipeline(spark):
     assert 0 < len(got) < len(text) and max(map(len, groups.values())) == 1
     leaks = {r["doc_id"] for r in queries.QUERIES["op4_decontamination"](spark, DIR).toArrow().to_pylist()}
     assert not leaks & got.keys()
+    own = bpe.ByteBpe(bpe.read_ranks(bpe.public_path()), bpe.public_pattern())
+    assert all(sha(own.decode(g["token_ids"])) == g["decoded_sha256"] and len(g["token_ids"]) == g["n_tokens"] for g in got.values())
     judge = pii.learn(docs)
     assert all(g["decoded_sha256"] == sha(pii.redacted(text[i], judge)) for i, g in got.items())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, and rows with nulls, repeated ids and a column more, go through all stages."""
+    import corpus_pipeline
+
+    text = prose(41, 60)
+    rows = [(1, text, "en", "s", None), (1, prose(42, 60), None, None, 3), (None, text, "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (5, "mail a1@b.example now", "en", "s", 21)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for k, table in enumerate(([], rows)):
+        for name, data, schema in (("documents", table, kinds), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
+            spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{k}/{name}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        # Of the two rows with one text that with an id stays; texts without words are no one's copies.
+        assert sorted(r.doc_id for r in got) == ([1, 1, 3, 4, 5] if table else [])
+    short = spark.createDataFrame([(1, "write x@y.zz")], "doc_id long, text string")
+    assert corpus_pipeline.pii_stage(spark, short, "").collect()[0].text == "write [EMAIL]"
