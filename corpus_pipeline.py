@@ -30,13 +30,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by the names of their kinds; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    """Personal data are replaced by the names of their kinds; n_chars, where there is one, follows the text."""
+    out = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
-    return bpe.encode_documents(docs)
+    """doc_id, n_tokens, the digests of the ids and of the decoded bytes, and the ids."""
+    return bpe.encode_documents(docs, with_ids=True)
 
 
 STAGES = [
