@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, held, no_cycles, ship, text_rows
+from paperloom.llm.common import held, no_cycles, ship, text_rows
 
 SAMPLES = 128
 #: Ranges are dealt out by hash; with several for each task the load evens out.
@@ -308,7 +308,7 @@ def _batch(rows: list[tuple], key_type) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(FIELDS))
 
 
-def with_next(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def with_next(docs: DataFrame) -> DataFrame:
     """The fingerprint of every document and of its text edited with the next one's.
 
     The order by descending doc_id is cut into ranges at quantiles of the ids, a few for each shuffle partition;
@@ -316,7 +316,6 @@ def with_next(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     each range are paired across ranges, which is a number of rows that depends on the partitions alone.
     """
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "fingerprints")
     ship(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = tasks * RANGES_PER_TASK
@@ -355,37 +354,37 @@ def with_next(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             if out:
                 yield _batch(out, kind)
 
+    # The ranges that have rows, a few for each shuffle partition, in order; after the last comes the first again.
+    own_parts = sorted(r.part for r in rows.select(range_of(F.col("doc_id").cast("double")).alias("part")).distinct().collect())
+    before_part = dict(zip(own_parts, own_parts[-1:] + own_parts[:-1], strict=True))
+
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.string(), None, pa.string()]
-        first, before = None, None
+        """Of each range its last row, and its first text for the last row of the range before it."""
+        last = None
 
-        def made(a, b):
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((a[0], a[2], b[1], b[2]), kinds, strict=True)], names=["part", "first_text", "last_id", "last_text"])
+        def made(pair: int, side: int, row) -> pa.RecordBatch:
+            _, batch, k = row
+            return pa.RecordBatch.from_arrays([pa.array([pair], pa.int32()), pa.array([side], pa.int32()), batch.column("doc_id").slice(k, 1), batch.column("text").slice(k, 1)], names=["pair", "side", "doc_id", "text"])
 
         for batch in batches:
-            kinds[2] = batch.schema.field("doc_id").type
-            for part, doc, k in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), range(batch.num_rows), strict=True):
-                if before is None or before[0] != part:
-                    if before is not None:
-                        yield made(first, texts(before))
-                    first = (part, doc, batch.column("text")[k].as_py())
-                before = (part, doc, batch, k)
-        if before is not None:
-            yield made(first, texts(before))
-
-    def texts(x):
-        return x[0], x[1], x[2].column("text")[x[3]].as_py()
+            for k, part in enumerate(batch.column("part").to_pylist()):
+                row = (part, batch, k)
+                if last is None or last[0] != part:
+                    if last is not None:
+                        yield made(last[0], 1, last)
+                    yield made(before_part[part], 0, row)
+                last = row
+        if last is not None:
+            yield made(last[0], 1, last)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pairing()
+        pair, first = pairing(), None
         for batch in batches:
-            found = list(pair.rows((i.as_py(), a.as_py(), b.as_py()) for i, a, b in zip(batch.column("last_id"), batch.column("last_text"), batch.column("next_text"), strict=True)))
-            yield _batch(found, batch.schema.field("last_id").type)
-
-    # Two texts of each range are kept; only the ranges' numbers, a few for each shuffle partition, are put in order.
-    edges = scratch.keep(dealt.mapInArrow(ends, f"part int, first_text string, last_id {key}, last_text string"), "edges")
-    ordered = Window.orderBy("part")
-    following = edges.select("part").withColumn("next_part", F.coalesce(F.lead("part").over(ordered), F.first("part").over(ordered)))
-    edges = edges.join(following, "part").join(edges.select(F.col("part").alias("next_part"), F.col("first_text").alias("next_text")), "next_part")
-    edges = edges.select("last_id", "last_text", "next_text")
+            for side, doc, text in zip(batch.column("side").to_pylist(), batch.column("doc_id"), batch.column("text"), strict=True):
+                if side == 0:
+                    first = text.as_py()
+                else:
+                    yield _batch(list(pair.rows([(doc.as_py(), text.as_py(), first)])), batch.schema.field("doc_id").type)
+
+    edges = dealt.mapInArrow(ends, f"pair int, side int, doc_id {key}, text string").repartition(tasks, "pair").sortWithinPartitions("pair", "side")
     return dealt.mapInArrow(inner, _schema(docs)).unionByName(edges.mapInArrow(across, _schema(docs)))
