@@ -9,46 +9,52 @@ from pyspark.sql import functions as F
 PLACEHOLDERS = ["", "-", "–", "—", "n/a", "na", "nil", "--"]
 CURRENCY = r"(?:rs\.?|inr|usd|eur|gbp|[$€£¥₹])"
 
+# How digits may be written, with the mark between groups and the decimal mark.
+FORMS = (
+    (r"\d+", "", ""),
+    (r"\d+\.\d+", "", "."),
+    (r"\d+,\d{1,2}", "", ","),
+    (r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", ",", "."),  # US
+    (r"\d{1,3}(?:,\d{2})*,\d{3}(?:\.\d+)?", ",", "."),  # Indian
+    (r"\d{1,3}(?:\.\d{3})+,\d+", ".", ","),  # European
+    (r"\d{1,3}(?:\.\d{3}){2,}", ".", ""),
+    (r"\d{1,3}(?: \d{3})+(?:\.\d+)?", " ", "."),
+    (r"\d{1,3}(?: \d{3})+,\d{1,2}", " ", ","),
+)
+
 REVIEW, HIGH = 0.6, 0.85
 
+#: Separates the parts of a cell that is taken apart; it isn't printed in any.
+APART = "\u0001"
+
 
 def table_number(raw: Column) -> Column:
     """Struct (value decimal(38,6), decimals, commas, percent) of a plain table number, else null.
 
-    Takes US, Indian, European and space-grouped digits, decimal commas, currency marks, brackets or signs for negative
-    numbers, footnote marks and a percent sign.
+    Takes the forms of ``FORMS``, currency marks, brackets or signs for negative numbers, footnote marks and a percent sign.
     """
-    cell = F.trim(F.replace(raw, F.lit("\u00a0"), F.lit(" ")))
-
-    def bare(s: Column) -> Column:
-        bracket = s.rlike(r"^\(.*\)$")
-        inner = F.when(bracket, F.trim(F.regexp_replace(s, r"^\(|\)$", ""))).otherwise(s)
-        return bound(F.struct(F.regexp_replace(F.translate(inner, "\u2212\u2013\u2014", "---"), r"[*†‡§ ]+$", "").alias("s"), bracket.alias("negative")), after_marks)
-
-    def after_marks(x: Column) -> Column:
-        trailing = x["s"].rlike(r"^[0-9.,\s]*[0-9][0-9.,\s]*-$")
-        s = F.when(trailing, F.trim(F.regexp_replace(x["s"], "-$", ""))).otherwise(x["s"])
-        return bound(F.struct(s.alias("s"), (x["negative"] | trailing).alias("negative")), after_sign)
-
-    def after_sign(x: Column) -> Column:
-        percent = x["s"].endswith("%")
-        s = F.when(percent, F.trim(F.regexp_replace(x["s"], "%$", ""))).otherwise(x["s"])
-        return bound(F.struct(s.alias("s"), x["negative"].alias("negative"), percent.alias("percent")), parts)
-
-    def parts(x: Column) -> Column:
-        whole = rf"(?i)^([+-])?\s*{CURRENCY}?\s*([+-])?\s*([0-9][0-9.,\s]*)$"
-        body = F.trim(F.regexp_extract(x["s"], whole, 3))
-        minus = (F.regexp_extract(x["s"], whole, 1) == "-") | (F.regexp_extract(x["s"], whole, 2) == "-")
-        rest = [F.contains(body, F.lit(",")).alias("commas"), (x["negative"] != minus).alias("negative"), x["percent"].alias("percent")]
-        return bound(bound(body, lambda b: F.struct(digits_of(b).alias("digits"), *rest)), found)
-
-    def found(x: Column) -> Column:
-        decimals = F.when(F.instr(x["digits"], ".") > 0, F.length(F.substring_index(x["digits"], ".", -1))).otherwise(0)
-        value = x["digits"].try_cast("decimal(38,6)")
-        out = F.struct(F.when(x["negative"], -value).otherwise(value).alias("value"), decimals.alias("decimals"), x["commas"].alias("commas"), x["percent"].alias("percent"))
-        return F.when(x["digits"].isNotNull(), out)
-
-    return F.when(raw.isNotNull() & ~F.lower(cell).isin(PLACEHOLDERS), bound(cell, bare))
+    cell = F.trim(F.translate(raw, "\u00a0\u2212\u2013\u2014", " ---"))
+    empty = raw.isNull() | F.lower(F.trim(F.replace(raw, F.lit("\u00a0"), F.lit(" ")))).isin(PLACEHOLDERS)
+    # Bracket, sign, currency, sign, digits, and what follows them: one match takes a cell apart.
+    digits = r"([0-9](?:[0-9.,\s]*[0-9.,])?)"
+    whole = rf"(?i)^(\(\s*)?([+-]?)\s*({CURRENCY}?)\s*([+-]?)\s*{digits}\s*([-%]?)[*†‡§\s]*(\)?)$"
+    parts = F.split(F.regexp_replace(cell, whole, APART.join(f"${k}" for k in range(1, 8))), APART)
+
+    def number(p: Column) -> Column:
+        opened, sign, currency, second, body, after, closed = (F.trim(F.get(p, F.lit(k))) for k in range(7))
+        trailing = after == "-"
+        # A bracket closes, and a minus sign behind the digits stands alone.
+        fine = (F.size(p) == 7) & ((opened == "(") == (closed == ")")) & ~(trailing & (F.concat(sign, currency, second) != ""))
+        value = F.coalesce(*[F.when(body.rlike(f"^(?:{form})$"), F.translate(body, decimal + group, "." if decimal else "")) for form, group, decimal in FORMS])
+        negative = ((opened == "(") | trailing) != ((sign == "-") | (second == "-"))
+        return F.struct(F.when(fine, value).alias("digits"), F.when(negative, -1).otherwise(1).alias("sign"), F.contains(body, F.lit(",")).alias("commas"), (after == "%").alias("percent"))
+
+    def result(n: Column) -> Column:
+        decimals = F.when(F.contains(n["digits"], F.lit(".")), F.length(F.substring_index(n["digits"], ".", -1))).otherwise(0)
+        value = (n["digits"].try_cast("decimal(38,6)") * n["sign"]).cast("decimal(38,6)")
+        return F.when(n["digits"].isNotNull(), F.struct(value.alias("value"), decimals.alias("decimals"), n["commas"].alias("commas"), n["percent"].alias("percent")))
+
+    return F.when(~empty, bound(bound(parts, number), result))
 
 
 def bound(value: Column, f) -> Column:
@@ -56,31 +62,6 @@ def bound(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def digits_of(body: Column) -> Column:
-    """Digits with a decimal point at most, or null where separators follow no known form."""
-    spaced = F.contains(body, F.lit(" "))
-    whole = F.when(~spaced, body).when(body.rlike(r"^\d{1,3}(?: \d{3})+(?:[.,]\d+)?$"), F.replace(body, F.lit(" "), F.lit("")))
-    return bound(whole, _digits)
-
-
-def _digits(s: Column) -> Column:
-    comma, dot = F.contains(s, F.lit(",")), F.contains(s, F.lit("."))
-    plain = F.replace(s, F.lit(","), F.lit(""))
-    return (
-        F.when(s.isNull() | (s == ""), None)
-        .when(comma & dot & s.rlike(r"^\d{1,3}(?:\.\d{3})+,\d+$"), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(comma & dot & s.rlike(r"^(?:\d{1,3}(?:,\d{2})*,\d{3}|\d{1,3}(?:,\d{3})+)\.\d+$"), plain)
-        .when(comma & dot, None)
-        .when(comma & s.rlike(r"^(?:\d{1,3}(?:,\d{2})*,\d{3}|\d{1,3}(?:,\d{3})+)$"), plain)
-        .when(comma & s.rlike(r"^\d+,\d{1,2}$"), F.replace(s, F.lit(","), F.lit(".")))
-        .when(comma, None)
-        .when(dot & s.rlike(r"^\d{1,3}(?:\.\d{3}){2,}$"), F.replace(s, F.lit("."), F.lit("")))
-        .when(dot & s.rlike(r"^\d+\.\d+$"), s)
-        .when(dot, None)
-        .when(s.rlike(r"^\d+$"), s)
-    )
-
-
 def chart_number(raw: Column) -> Column:
     """Axis numbers: currency and percent signs go, k, M and B scale."""
     s = F.regexp_replace(F.trim(raw), r"[$€£¥₹,%\s]", "")

@@ -224,3 +224,27 @@ def test_equations(spark):
     rows = [("f", g.text, g.x0, g.y0, g.x1, g.y1, g.base, g.size) for g in half] + [("f", None, 0.0, 96.0, 6.0, 96.0, 96.0, 0.0)]
     frame = spark.createDataFrame([tuple(float(v) if isinstance(v, int) else v for v in r) for r in rows], "f string, text string, x0 double, y0 double, x1 double, y1 double, base double, size double")
     assert E.latex(frame, "f").first().latex == r"\frac{a}{b} =1"
+
+
+def written(x, base, text, size):
+    return [E.Glyph(c, x + k * 0.5 * size, base - size, x + (k + 1) * 0.5 * size, base, base, size) for k, c in enumerate(text)]
+
+
+@pytest.mark.parametrize(
+    "chars, rules, want",
+    [
+        (written(0, 100, "FV = PV × (1+r)", 12) + written(90, 95, "n", 8), [], r"FV = PV \times (1+r)^{n}"),
+        (written(0, 100, "x", 12) + written(6, 103, "i", 8) + written(10, 100, " = y", 12) + written(34, 103, "j", 8), [], "x_{i} = y_{j}"),
+        (written(0, 100, "A = P(1+r)ⁿ, α ≤ β ≠ γ ± δ", 12), [], r"A = P(1+r)^{n}, \alpha \leq \beta \neq \gamma \pm \delta"),
+        (written(0, 105, "∑", 20) + written(3, 86, "n", 8) + written(-1, 119, "i=1", 8) + written(14, 105, "x", 12) + written(20, 108, "i", 8) + written(24, 105, " = S", 12), [], r"\sum_{i=1}^{n} x_{i} = S"),
+        (written(0, 105, "x =", 12) + written(36, 98, "a+b", 12) + written(42, 118, "c", 12), [(34, 56, 103)], r"x = \frac{a+b}{c}"),
+        (written(0, 100, "y = √", 12) + written(30, 100, "x+1", 12), [(29.5, 48, 88)], r"y = \sqrt{x+1}"),
+        (written(0, 100, "z = √(a+b)", 12), [], r"z = \sqrt{a+b}"),
+        (written(0, 100, "a = b  (12)", 12), [], r"a = b \tag{12}"),
+        (written(0, 100, "x", 12) + written(6, 95, "n+1", 8), [], "x^{n+1}"),
+        (written(0, 100, "Y=X", 12) + written(60, 95, "2", 7), [], "Y=X2"),
+        (written(6, 80, "a", 12) + written(6, 104, "b", 12) + written(6, 128, "c", 12), [(4, 14, 108), (4, 13, 84)], r"\frac{\frac{a}{b}}{c}"),
+    ],
+)
+def test_equation_forms(chars, rules, want):
+    assert E.read(chars, rules)[0] == want
