@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import blocks as B
 from paperloom.operators import output as O
+from paperloom.operators import relations as R
 from paperloom.operators import summaries as S
 
 ID = r"^[0-9a-f]{12}$"
@@ -150,7 +151,11 @@ class Library:
 
     def _pages(self, args) -> DataFrame:
         kinds = ["heading", "paragraph", "list", "table", "figure", "chart", "equation"]
-        return self._mine(self.blocks, args).groupBy("page").agg(F.count("*").alias("blocks"), *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds]).orderBy("page")
+        last = F.greatest(F.coalesce("page_count", F.lit(0)), F.lit(0))
+        pages = self._mine(self.documents, args).select(F.explode(F.when(last > 0, F.sequence(F.lit(1), last))).alias("page"))
+        blocks = self._mine(self.blocks, args)
+        pages = pages.unionByName(blocks.select(F.col("page").cast("int").alias("page"))).distinct()
+        return R.child_counts(pages, blocks, ["page"], "type", {f"n_{k}": k for k in kinds}, "blocks").orderBy("page")
 
     def _markdown(self, args) -> DataFrame:
         from paperloom.operators.markup import markdown
@@ -161,8 +166,7 @@ class Library:
         out = O.json_documents(self._mine(self.documents, args), {"blocks": (self._mine(self.blocks, args), ["order_no"]), "cells": (self._mine(self.cells, args), ["id", "row", "col"])}, self.KEY)
         if not args.path:
             return out
-        steps = "".join(f"[{s}]" if s.isdigit() else f".{s}" for s in args.path.split("."))
-        return out.select(self.KEY, F.get_json_object("json", f"${steps}").alias("value"))
+        return out.select(self.KEY, R.json_value(F.col("json"), args.path).alias("value"))
 
     def _export(self, args) -> DataFrame:
         if args.format in ("json", "md"):

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from paperloom.functions import numbers as N
 from paperloom.functions import text as T
 from paperloom.operators import blocks as B
+from paperloom.operators import charts as C
 from paperloom.operators import markup as M
+from paperloom.operators import relations as R
 from paperloom.plans.catalog import query, table
 from paperloom.streaming.jobs import rates
 
@@ -63,13 +65,15 @@ def edge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_type, round(regr_slope(p_retailprice, p_partkey), 8) AS slope, round(regr_intercept(p_retailprice, p_partkey), 4) AS intercept, round(regr_r2(p_retailprice, p_partkey), 8) AS r2 FROM part GROUP BY p_type")
 def axis_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y, x = "p_retailprice", "p_partkey"
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.round(F.regr_slope(y, x), 8).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 8).alias("r2"))
+    """Least-squares lines; a type with one place has none."""
+    parts = table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_retailprice")
+    lines = C.fitted(parts, "p_type", "p_partkey", "p_retailprice").select("p_type", F.round("a", 8).alias("slope"), F.round("b", 4).alias("intercept"), F.round("r2", 8).alias("r2"))
+    return parts.select("p_type").distinct().join(lines, "p_type", "left")
 
 
 @query("SELECT l_returnflag, median(l_quantity) AS middle, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share FROM lineitem GROUP BY l_returnflag")
 def medians_and_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("middle"), F.round(F.avg((F.col("l_discount") > 0.05).cast("int")), 6).alias("share"))
+    return R.middles_and_shares(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", F.col("l_discount") > 0.05)
 
 
 @query(
@@ -108,7 +112,7 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy("event_type", R.json_value(F.col("props"), "k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -116,8 +120,9 @@ def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 0 THEN 'SUCCESS' WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0 THEN 'FAILED' ELSE 'PARTIAL_SUCCESS' END AS status FROM events GROUP BY user_id"""
 )
 def final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n_errors"), F.count_if(F.col("event_type") == "purchase").alias("n_blocks"))
-    return g.withColumn("status", F.when(F.col("n_errors") == 0, "SUCCESS").when(F.col("n_blocks") == 0, "FAILED").otherwise("PARTIAL_SUCCESS"))
+    events = table(spark, sf_dir, "events")
+    g = R.child_counts(events.select("user_id").distinct(), events, ["user_id"], "event_type", {"n_errors": "error", "n_blocks": "purchase"}).drop("n")
+    return g.withColumn("status", R.final_status(F.col("n_errors"), F.col("n_blocks")))
 
 
 @query(
@@ -126,19 +131,19 @@ def final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every parent row with counts by type, zeros where it has no children."""
-    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("machinery"), F.count("*").alias("n"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(counts, "n_nationkey", "left").fillna(0, ["building", "machinery", "n"])
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
+    return R.child_counts(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), customers, ["n_nationkey"], "c_mktsegment", {"building": "BUILDING", "machinery": "MACHINERY"})
 
 
 @query("SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def installed_and_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+    return R.common(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey")), table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def not_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+    return R.without(table(spark, sf_dir, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 
 @query(
@@ -146,9 +151,8 @@ def not_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT k, name FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pref DESC, name DESC) AS r FROM u) WHERE r = 1"""
 )
 def known_by_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"), F.lit(2).alias("pref"))
-    b = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.lit(1).alias("pref"))
-    return a.unionByName(b).groupBy("k").agg(F.max_by("name", F.struct("pref", "name")).alias("name"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return R.by_precedence("k", "name", nations, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name")))
 
 
 @query(
@@ -184,20 +188,18 @@ def cell_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, user_id, max(head) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section_id FROM h"""
 )
 def as_of_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = table(spark, sf_dir, "events")
-    return t.select("event_id", "user_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("section_id"))
+    head = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return R.carried(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], head, "section_id").select("event_id", "user_id", "section_id")
 
 
 @query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
 def recents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).filter("k <= 5").select("user_id", "event_id", "ts")
+    return R.last_rows(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], 5)
 
 
 @query("SELECT count(*) AS n_docs, CAST(sum(p_size) AS BIGINT) AS n_pages, round(avg(p_retailprice), 4) AS mean, count(DISTINCT p_brand) AS n_brands FROM part")
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").agg(F.count("*").alias("n_docs"), F.sum("p_size").alias("n_pages"), F.round(F.avg("p_retailprice"), 4).alias("mean"), F.countDistinct("p_brand").alias("n_brands"))
+    return R.dashboard(table(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_brand").withColumnRenamed("n_kinds", "n_brands")
 
 
 @query(
@@ -234,3 +236,101 @@ def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def ingest_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(table(spark, sf_dir, "events"))
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def without_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers none of whose orders is pending."""
+    pending = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return R.without(table(spark, sf_dir, "customer").select("c_custkey"), pending, ["c_custkey"])
+
+
+POINTS = """p AS (SELECT l_orderkey AS k, l_linenumber AS id, min(l_quantity) AS x, min(CAST(l_partkey % 50 AS DOUBLE)) AS y FROM lineitem GROUP BY ALL), b AS (SELECT k, id AS box, x - 8 AS x0, x + 8 AS x1, y - 12 AS y0, y + 12 AS y1 FROM p WHERE id % 3 = 0)"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points of one unit each way, and boxes around every third of them."""
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id")).agg(F.min("l_quantity").alias("x"), F.min((F.col("l_partkey") % 50).cast("double")).alias("y"))
+    rows = p.select("k", "id", *[(F.col(c[0]) + d).alias(c) for c, d in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
+    boxes = p.filter("id % 3 = 0").select("k", F.col("id").alias("box"), *[(F.col(c[0]) + d).alias(c) for c, d in (("x0", -8), ("y0", -12), ("x1", 8), ("y1", 12))])
+    return rows, boxes
+
+
+@query(f"WITH {POINTS} SELECT p.k, p.id, min(box) AS box FROM p JOIN b ON p.k = b.k AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL")
+def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, boxes = _points(spark, sf_dir)
+    return R.first_boxes(rows, boxes, ["k"], "id", "box")
+
+
+@query(f"WITH {POINTS} SELECT k, id FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE p.k = b.k AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)")
+def points_outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, boxes = _points(spark, sf_dir)
+    return R.outside(rows, boxes, ["k"], "id").select("k", "id")
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS k, 'old' || o_orderkey AS id, o_orderkey AS place, 'old' || (o_orderkey - 1) AS parent_id FROM orders),
+    n AS (SELECT k, id, printf('B%04d', row_number() OVER (PARTITION BY k ORDER BY place, id)) AS new FROM t)
+    SELECT t.k, n.new AS id, t.place, m.new AS parent_id FROM t JOIN n USING (k, id) LEFT JOIN n m ON m.k = t.k AND m.id = t.parent_id"""
+)
+def renumbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = lambda c: F.concat(F.lit("old"), c.cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), old(F.col("o_orderkey")).alias("id"), F.col("o_orderkey").alias("place"), old(F.col("o_orderkey") - 1).alias("parent_id"))
+    return R.renumbered(rows, "k", "place")
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'slide ' || CASE WHEN p_size > 20 THEN p_size ELSE p_partkey END WHEN 1 THEN CASE WHEN p_size > 20 THEN p_brand ELSE 'sheet' END || CASE WHEN p_partkey % 2 = 0 THEN '!B2' ELSE '' END
+    WHEN 2 THEN 'unit ' || p_partkey ELSE 'p.' || p_partkey END AS label, printf('#%02x%02x%02x', CAST(p_size * 5 AS INT), CAST(p_partkey % 256 AS INT), 255) AS colour FROM part"""
+)
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where blocks of four kinds of documents come from, and colours."""
+    size, page = F.col("p_size"), F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("pptx", "xlsx", "docx", "pdf")]), (size % 4 + 1).cast("int"))
+    large = lambda c: F.when(size > 20, c)
+    label = R.source_label(kind, page, large(size), large(F.col("p_brand")), F.when(page % 2 == 0, "B2"))
+    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), R.hex_colour(size * 5 / 255, (page % 256) / 255, F.lit(1.0)).alias("colour"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS id, min(CAST(l_partkey % 100 AS DOUBLE)) AS y FROM lineitem GROUP BY ALL), l AS (SELECT k, y AS line FROM p WHERE id <= 2),
+    n AS (SELECT p.k, p.id, arg_min(line, abs(line - y) * 1000 + line) AS line FROM p JOIN l ON l.k = p.k AND abs(line - y) <= 3 GROUP BY ALL)
+    SELECT p.k, p.id, coalesce(n.line, p.y) AS y FROM p LEFT JOIN n ON n.k = p.k AND n.id = p.id"""
+)
+def snapped_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id")).agg(F.min((F.col("l_partkey") % 100).cast("double")).alias("y"))
+    return R.snapped(p, p.filter("id <= 2").select("k", "y"), "k", "id", "y").select("k", "id", "y")
+
+
+@query(
+    """SELECT l_orderkey AS k, l_linenumber AS id, l_linenumber AS page, CASE WHEN l_returnflag = 'A' THEN 'paragraph' ELSE 'table' END AS type, CASE WHEN l_partkey % 9 = 0 THEN 'Tesseract 5' END AS extractor, CASE WHEN l_partkey % 7 = 0 THEN 'handwritten' END AS kind FROM lineitem
+    WHERE l_partkey % 9 = 0 OR l_partkey % 7 = 0 OR (l_returnflag = 'A' AND l_linenumber % 2 = 0)"""
+)
+def scanned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of even pages, which are scanned, and what a reader of pictures or of handwriting found on any page."""
+    t = table(spark, sf_dir, "lineitem")
+    blocks = t.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id"), F.col("l_linenumber").alias("page"), F.when(F.col("l_returnflag") == "A", "paragraph").otherwise("table").alias("type"), F.when(F.col("l_partkey") % 9 == 0, "Tesseract 5").alias("extractor"), F.when(F.col("l_partkey") % 7 == 0, "handwritten").alias("kind"))
+    pages = blocks.select("k", "page").distinct().withColumn("source", F.when(F.col("page") % 2 == 0, "ocr").otherwise("text"))
+    return R.from_scan(blocks, pages, "k")
+
+
+@query(
+    """SELECT p_partkey, CAST(p_size AS DOUBLE) * CASE p_partkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS value FROM part"""
+)
+def axis_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes printed with k, M, a currency or a percent sign are read back."""
+    size = F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % 4
+    printed = F.when(kind == 0, F.concat(size, F.lit("k"))).when(kind == 1, F.concat(size, F.lit(" M"))).when(kind == 2, F.concat(F.lit("$"), size)).otherwise(F.concat(size, F.lit("%")))
+    return table(spark, sf_dir, "part").select("p_partkey", N.chart_number(printed).alias("value"))
+
+
+@query(
+    """SELECT s.l_orderkey AS k, s.l_linenumber AS id, arg_min(CAST(t.l_linenumber AS VARCHAR), abs(s.l_quantity - t.l_linenumber * 10) * 1000 + t.l_linenumber) AS category
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem) s JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) t ON s.l_orderkey = t.l_orderkey AND abs(s.l_quantity - t.l_linenumber * 10) <= 6 GROUP BY ALL"""
+)
+def bar_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tick nearest to each bar; ticks are ten apart."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("x"))
+    ticks = t.select("k", (F.col("id") * 10.0).alias("x"), F.col("id").cast("string").alias("text"), F.lit(10.0).alias("gap")).distinct()
+    return C.nearest_label(t.distinct(), ticks, "k")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.library import CommandError, Library
 from paperloom.operators import charts as C
 from paperloom.operators import equations as E
+from paperloom.operators import relations as R
 from paperloom.operators import layout as L
 from paperloom.operators import output as O
 from paperloom.operators import summaries as S
@@ -248,3 +249,11 @@ def written(x, base, text, size):
 )
 def test_equation_forms(chars, rules, want):
     assert E.read(chars, rules)[0] == want
+
+
+def test_markers_join_their_lines(spark):
+    """A bullet goes in front of the line beside it; one too far away, or without a line, stays; a line takes the nearest."""
+    rows = [("p", 1, "•", 10, 100, 15, 110), ("p", 2, "first", 25, 101, 90, 111), ("p", 3, "far", 70, 200, 90, 210), ("p", 4, "2.", 10, 200, 18, 210), ("p", 5, "–", 2, 100, 5, 110), ("q", 1, "•", 10, 100, 15, 110)]
+    lines = spark.createDataFrame([(*r[:3], *map(float, r[3:])) for r in rows], "p string, id int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.p, r.id): (r.text, r.x0) for r in R.glued_markers(lines, ["p"], "id", r"^(?:[•–]|\d+\.)$").collect()}
+    assert got == {("p", 2): ("• first", 10.0), ("p", 3): ("far", 70.0), ("p", 4): ("2.", 10.0), ("p", 5): ("–", 2.0), ("q", 1): ("•", 10.0)}
