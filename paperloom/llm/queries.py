@@ -85,3 +85,30 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Base 32 of the hexadecimal SHA-1: five hexadecimal digits are four letters.
+ORACLE["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT *, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+    list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CAST(CASE WHEN page_id <> first THEN first END AS BIGINT) AS refers_to
+FROM h"""
+
+#: Equal sets are one class, so that copies aren't paired; classes that share a shingle are compared in full.
+ORACLE["op10_minhash"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) < 2 THEN words
+    ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END)) AS shingles FROM w),
+c AS (SELECT *, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY shingles) END AS class FROM s),
+m AS (SELECT DISTINCT class, len(shingles) AS size, unnest(shingles) AS shingle FROM c),
+links AS (SELECT a.class AS one, b.class AS other FROM m a JOIN m b USING (shingle)
+    WHERE a.class <> b.class AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)
+    GROUP BY a.class, b.class, a.size, b.size HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))),
+reach(class, seen) AS (SELECT DISTINCT class, class FROM c UNION SELECT reach.class, links.other FROM reach JOIN links ON links.one = reach.seen),
+comp AS (SELECT class, min(seen) AS component FROM reach GROUP BY class)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component AS component_id, doc_id = component AS kept FROM c JOIN comp USING (class)"""

@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 import regex
 import tiktoken
@@ -660,3 +661,32 @@ def test_pipeline_edges(spark, tmp_path):
         assert sorted(r.doc_id for r in got) == ([1, 1, 3, 4, 5] if table else [])
     short = spark.createDataFrame([(1, "write x@y.zz")], "doc_id long, text string")
     assert corpus_pipeline.pii_stage(spark, short, "").collect()[0].text == "write [EMAIL]"
+
+
+# SQL --------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracle(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
+    want = db.execute(queries.ORACLE[name]).to_arrow_table()
+    got = queries.QUERIES[name](spark, DIR).toArrow()
+    assert sorted(got.column_names) == sorted(want.column_names)
+    rows = [sorted(map(repr, t.select(want.column_names).to_pylist())) for t in (got, want)]
+    assert rows[0] == rows[1]
+
+
+def test_minhash_oracle_edges(spark):
+    """The SQL of op10 over repeated, empty and missing texts, a chain of near copies and ASCII-only lower case."""
+    base = prose(5, 80).split()
+    chain = [" ".join([f"x{j}" if j < k else w for j, w in enumerate(base)]) for k in range(0, 24, 4)]
+    texts = [None, "", " \t\n", "One", "one", "ÄB cd", "äb cd", "a b", "a b a b", *chain, chain[2].upper(), chain[3] + "\x0b"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", d.toArrow())
+    want = db.execute(queries.ORACLE["op10_minhash"]).to_arrow_table()
+    got = minhash.near_duplicates(d, shingle=2, percent=80).toArrow().select(want.column_names)
+    key = want.column_names.index("doc_id")
+    assert sorted((tuple(r.values()) for r in got.to_pylist()), key=lambda r: r[key]) == sorted((tuple(r.values()) for r in want.to_pylist()), key=lambda r: r[key])
