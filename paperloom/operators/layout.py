@@ -28,13 +28,16 @@ def gutters(body: DataFrame, page: list[str]) -> DataFrame:
 
     Little is at most 0.3 of the median height that covers a point.
     """
+    # The key's columns may have any names, those of the columns made here too.
+    inner = [f"_page{k}" for k in range(len(page))]
+    body = body.select(*[F.col(c).alias(i) for c, i in zip(page, inner, strict=True)], "x0", "y0", "x1", "y1")
     high = F.col("y1") - F.col("y0")
     # A box covers whole points; each is an event where it begins and one behind its end, whatever its width.
     ends = F.array(F.struct(F.col("x0").cast("int").alias("x"), high.alias("d")), F.struct((F.col("x1").cast("int") + 1).alias("x"), (-high).alias("d")))
-    on_page = Window.partitionBy(*page)
+    on_page = Window.partitionBy(*inner)
     by_x = on_page.orderBy("x")
-    cover = body.filter("x0 IS NOT NULL AND x1 IS NOT NULL").select(*page, F.explode(ends).alias("e")).select(*page, "e.*")
-    cover = cover.select(*page, "x", F.round(F.sum("d").over(by_x.rangeBetween(Window.unboundedPreceding, 0)), 6).alias("h"), F.lead("x").over(by_x).alias("end"))
+    cover = body.filter("x0 IS NOT NULL AND x1 IS NOT NULL").select(*inner, F.explode(ends).alias("e")).select(*inner, "e.*")
+    cover = cover.select(*inner, "x", F.round(F.sum("d").over(by_x.rangeBetween(Window.unboundedPreceding, 0)), 6).alias("h"), F.lead("x").over(by_x).alias("end"))
     cover = cover.withColumn("n", F.col("end") - F.col("x")).filter("n > 0 AND h > 0")
     # The median over points, from runs of points: the runs up to the middle place, and up to the next one for even counts.
     up_to = F.sum("n").over(on_page.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
@@ -42,7 +45,8 @@ def gutters(body: DataFrame, page: list[str]) -> DataFrame:
     lower, upper = (F.min(F.when(F.col("up_to") >= k, F.col("h"))).over(on_page) for k in (F.ceil(F.col("points") / 2), F.floor(F.col("points") / 2) + 1))
     dense = cover.withColumn("middle", (lower + upper) / 2).filter("h > 0.3 * middle").withColumn("next", F.lead("x").over(by_x))
     found = dense.filter(F.col("next") - F.col("end") >= GUTTER)
-    return found.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("end").cast("double").alias("g0"), F.col("next").cast("double").alias("g1")))).alias("gutters"))
+    found = found.groupBy(*inner).agg(F.array_sort(F.collect_list(F.struct(F.col("end").cast("double").alias("g0"), F.col("next").cast("double").alias("g1")))).alias("gutters"))
+    return found.withColumnsRenamed(dict(zip(inner, page, strict=True)))
 
 
 def reading_order(blocks: DataFrame, key: str, id_col: str = "id") -> DataFrame:
