@@ -15,6 +15,8 @@ STOP = (
 SENTENCE_BREAK = r"""(?<=[.!?])\s+(?=[A-Z0-9"'“(\[])"""
 MIN_WORDS, MAX_WORDS = 6, 60
 CONTEXT = 50
+#: Letters that number 2^63 - 1 needs.
+MAX_LETTERS = 14
 
 
 def squeezed(text: Column) -> Column:
@@ -78,18 +80,21 @@ def safe_name(name: Column) -> Column:
 
 def column_number(letters: Column) -> Column:
     """A1 letters to a 1-based number."""
-    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(acc * 26 + F.ascii(c) - 64))
+    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0).cast("long"), lambda acc, c: F.when(c == "", acc).otherwise(acc * 26 + (F.ascii(c) - 64)))
 
 
 def column_name(number: Column) -> Column:
-    """1-based number up to 18278 to A1 letters."""
+    """1-based number (an integer of up to 64 bits) to A1 letters."""
 
     def letter(n: Column) -> Column:
-        return F.char((n % 26 + 65).cast("long"))
-
-    n = number - 1
-    two, three = F.floor(n / 26) - 1, F.floor((F.floor(n / 26) - 1) / 26) - 1
-    return F.concat(F.when(three >= 0, letter(three)).otherwise(""), F.when(two >= 0, letter(two)).otherwise(""), letter(n))
+        return F.char(n % 26 + 65)
+
+    rest = number.cast("long") - 1
+    letters = [letter(rest)]
+    for _ in range(MAX_LETTERS - 1):
+        rest = F.call_function("div", rest, F.lit(26)) - 1
+        letters.insert(0, F.when(rest >= 0, letter(rest)).otherwise(""))
+    return F.concat(*letters)
 
 
 def unit_of(label: Column) -> Column:

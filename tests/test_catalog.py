@@ -47,3 +47,14 @@ def test_rare_terms(spark):
     got = catalog.QUERIES["document_terms"](spark, DIR)
     assert got.columns == ["doc_id", "term", "n"]
     assert got.groupBy("term").sum("n").filter("`sum(n)` < 5").count() > 0
+
+
+def test_large_part_keys(spark, tmp_path):
+    """Keys whose names have more than three letters, beside a null and the edges: as the SQL has them."""
+    keys = [None, 0, 1, 25, 26, 701, 702, 18277, 18278, 18279, 475253, 475254, 1_200_000, 2**31, 2**53 + 1, 2**62]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLE["cell_addresses"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["cell_addresses"](spark, str(tmp_path)).select("p_partkey", "letters", "number").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -66,6 +66,13 @@ def test_letters(spark):
     assert {r.id: r.a for r in df.collect()}[703] == "AAA"
 
 
+def test_long_letters(spark):
+    """Names of any length, and back: the last of three and of four letters, the largest number."""
+    names = {18278: "ZZZ", 18279: "AAAA", 475254: "ZZZZ", 475255: "AAAAA", 2**63 - 1: "CRPXNLSKVLJFHG"}
+    df = spark.createDataFrame([(k,) for k in names], "id long").select("id", T.column_name(F.col("id")).alias("a")).withColumn("back", T.column_number(F.col("a")))
+    assert {r.id: (r.a, r.back) for r in df.collect()} == {k: (v, k) for k, v in names.items()}
+
+
 def docx(body):
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     out = io.BytesIO()
