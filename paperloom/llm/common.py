@@ -52,6 +52,10 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._delete(f"{self.root}/{name}")
 
+    def clear(self) -> None:
+        """Free all that is left."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark._jvm
@@ -85,6 +89,21 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def picked(table: DataFrame, number: str, ids: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of a table whose numbers (of ``numbered``, not null) are among the ids (one column), or the others.
+
+    The ids are broadcast as bitmaps of a bit a row, 4 KB for each 32,768 numbers of a partition that has any, so that
+    no row of the table is shuffled, however many ids there are."""
+    own = ids.columns[0]
+    at = ids.select(F.shiftright(own, 15).alias("bucket"), F.col(own).bitwiseAND(F.lit(32767)).alias("at")).repartition("bucket")
+    maps = F.broadcast(at.groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("at")).alias("bits")))
+    row = table[number]
+    place = row.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(maps["bits"], F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = (maps["bucket"] == F.shiftright(row, 15)) & (F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return table.join(maps, found, "left_anti" if others else "left_semi")
+
+
 def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone; a null text counts as empty. Other columns, whatever their names, play no part."""
     return docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))

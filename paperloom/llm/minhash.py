@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, arrow_strings, no_cycles, numbered, release, ship, text_rows
+from paperloom.llm.common import Scratch, arrow_strings, no_cycles, numbered, picked, release, ship, text_rows
 from paperloom.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -152,12 +152,13 @@ def compared(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
     intersection's size, a prefix of the sorted shingles of b that a lacks, as long as a link between b and another can
     need, a's size, the number of the shingles that only one of the two has, and a 256-bit map of those.
 
-    The text of an a with many pairs is copied to as many salts as its pairs fill slices of ``SLICE``, so no task gets
-    all pairs of one."""
+    Only texts that are in pairs are shuffled. The text of an a with many pairs is copied to as many salts as its pairs
+    fill slices of ``SLICE``, so no task gets all pairs of one."""
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     salted = pairs.join(slices, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int")).select("a", "b", "salt")
-    texts_a = rows.select(F.col("row").alias("a"), F.col("text").alias("text_a")).join(slices, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    rows = salted.join(rows.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts_a, ["a", "salt"])
+    texts_a = picked(rows, "row", pairs.select("a")).select(F.col("row").alias("a"), F.col("text").alias("text_a")).join(slices, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    texts_b = picked(rows, "row", pairs.select("b")).select(F.col("row").alias("b"), F.col("text").alias("text_b"))
+    rows = salted.join(texts_b, "b").join(texts_a, ["a", "salt"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -206,7 +207,7 @@ def grouped(numbers: tuple[DataFrame, str], key: str, text: str, shingle: int, p
     thin = every.select("row", "doc_id", "n_shingles", "cls")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     classes = scratch.keep(thin.filter("n_shingles > 0").groupBy("cls").agg(F.min(first).alias("first")).withColumn("rep", F.col("first.row")), "classes")
-    reps = every.join(classes.select("cls", F.col("rep").alias("row")), ["cls", "row"], "left_semi")
+    reps = picked(every, "row", classes.select("rep"))
     placed = reps.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     met = placed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low < high").select("bucket", "met")
     buckets = scratch.keep(placed.join(met, "bucket"), "buckets")

@@ -16,7 +16,7 @@ import regex
 import tiktoken
 
 from paperloom.llm import bpe, decontam, fingerprints, langid, minhash, pii, queries, secrets, suffix_dedup, toxicity, warc
-from paperloom.llm.common import Scratch
+from paperloom.llm.common import Scratch, picked
 
 DIR = "/root/testdata/sf0.001"
 WORDS = "alor bente cunda dore elvi fanto gira hols inde jorva kelm lupo".split()
@@ -663,6 +663,56 @@ def test_pipeline_edges(spark, tmp_path):
     assert corpus_pipeline.pii_stage(spark, short, "").collect()[0].text == "write [EMAIL]"
 
 
+# Shuffled bytes ---------------------------------------------------------------------------------------------------
+
+
+def test_picked(spark):
+    """Rows by number: ends of bitmaps, bytes and partitions, ids that repeat or that no row has, no ids; columns whose names clash."""
+    rows = spark.range(0, 70_000, 1, 3).selectExpr("id + shiftleft(2L, 33) * (id % 3) AS row", "id AS bucket", "id AS bits", "id AS at")
+    some = [r.row for r in rows.filter("at IN (0, 1, 7, 8, 9, 32766, 32767, 32768, 32769, 65535, 65536, 69999)").collect()]
+    for own in (some, []):
+        ids = spark.createDataFrame([(k,) for k in [*own, *own[:3], 1 << 50, 70_007]], "row long")
+        assert sorted(r.row for r in picked(rows, "row", ids).collect()) == sorted(own)
+        rest = picked(rows, "row", ids, others=True)
+        assert rest.columns == rows.columns and rest.count() == 70_000 - len(own) and rest.join(ids, "row").count() == 0
+
+
+def shuffled(spark, run):
+    """Bytes that an action shuffles if no table is small enough to be broadcast by itself, and its result."""
+
+    def stages():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = stages()
+        result = run()
+        return sum(n for k, n in stages().items() if k not in before), result
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_stay(spark):
+    """Texts that no pair needs are not shuffled, nor are those that stay when others go."""
+    r = random.Random(3)
+    rows = [(k, " ".join(f"{r.getrandbits(64):x}" for _ in range(8_000))) for k in range(60)]
+    item = prose(11, 20)
+    rows += [(100, prose(1, 50)), (101, prose(1, 50)), (102, prose(1, 50) + " end"), (103, f"{prose(2, 9)} {item} {prose(3, 9)}")]
+    d = frame(spark, rows, extra=False)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    for run, want in (
+        (lambda: {(x.doc_id, x.component_id) for x in minhash.near_duplicates(d, 2).collect() if not x.kept}, {(101, 100), (102, 100)}),
+    ):
+        moved, got = shuffled(spark, run)
+        assert got == want
+        assert moved < size / 20, (moved, size)
+
+
 # SQL --------------------------------------------------------------------------------------------------------------
 
 
