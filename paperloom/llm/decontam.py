@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, numbered
+from paperloom.llm.common import Scratch, numbered, picked
 
 #: Places that each mask keeps; every mask keeps five, the first among them.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
@@ -133,5 +133,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     scratch = Scratch(docs.sparkSession, "decontam")
     table, number = numbered(docs, scratch)
     items = benchmark.select(F.monotonically_increasing_id().alias("item_id"), "text")
-    found = find(table.select(F.col(number).alias("doc_id"), "text"), items, similarity, scratch=scratch).select(F.col("doc_id").alias(number)).distinct()
-    return table.join(found, number, "left_anti").select(*docs.columns)
+    found = find(table.select(F.col(number).alias("doc_id"), "text"), items, similarity, scratch=scratch).select("doc_id")
+    return picked(table, number, found, others=True).drop(number)

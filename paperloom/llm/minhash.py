@@ -281,7 +281,8 @@ def _left_over(members: DataFrame, first: DataFrame, roots: DataFrame, percent:
 
 def drop_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows, all columns as they are, that their components keep: one of each component."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+    scratch, steps = (Scratch(docs.sparkSession, "minhash") for _ in range(2))
     table, number = numbered(docs, scratch)
-    gone = grouped((table, number), "doc_id", "text", shingle, percent, scratch).filter(~F.col("stays")).select(F.col("row").alias(number))
-    return table.join(gone, number, "left_anti").select(*docs.columns)
+    gone = scratch.keep(grouped((table, number), "doc_id", "text", shingle, percent, steps).filter(~F.col("stays")).select("row"), "gone")
+    steps.clear()
+    return picked(table, number, gone, others=True).drop(number)

@@ -707,6 +707,8 @@ def test_texts_stay(spark):
     size = sum(len(t) for _, t in rows)
     for run, want in (
         (lambda: {(x.doc_id, x.component_id) for x in minhash.near_duplicates(d, 2).collect() if not x.kept}, {(101, 100), (102, 100)}),
+        (lambda: {k for k, _ in rows} - {x.doc_id for x in minhash.drop_duplicates(d, 2).collect()}, {101, 102}),
+        (lambda: {k for k, _ in rows} - {x.doc_id for x in decontam.clean(d, items).collect()}, {103}),
     ):
         moved, got = shuffled(spark, run)
         assert got == want
