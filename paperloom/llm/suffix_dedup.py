@@ -41,8 +41,12 @@ PLACES = LENGTH - SEED + 1
 HOT_STRETCHES = 50_000
 #: Bytes that are handled together, of one document or several.
 CHUNK = 1 << 19
+#: Bytes of texts in a batch that a Python worker returns.
+OUT_BYTES = 8 * CHUNK
 #: Window starts in a new level.
 BATCH_WINDOWS = 1 << 19
+#: Window starts in a task's arrays from which on they begin anew with the next anchor.
+INDEX_WINDOWS = 1 << 21
 
 U64 = np.uint64
 _RANDOM = np.random.RandomState(20240229).randint(0, 2**63 - 1, 300, dtype=np.int64).astype(U64)
@@ -105,7 +109,7 @@ def pieces(texts) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
             continue
         at = 0
         while True:
-            part = data[at : at + 8 * CHUNK]
+            part = data[at : at + CHUNK]
             where.append((k, at, size))
             parts.append(part)
             size += len(part)
@@ -193,25 +197,14 @@ class SuffixLevels:
             self.levels.append((both[merged], numbers[merged]))
 
 
-def settled(contexts: DataFrame) -> DataFrame:
-    """Of different stretches (anchor, own, data), dealt out by anchor: ranges of window numbers that occur twice."""
+def twice_in(contexts: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Of different stretches (anchor, own, data) with those of an anchor together: ranges of window numbers that occur twice.
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, keys, waiting, windows = SuffixLevels(), [], [], 0
-        counts: list[int] = []
-        for batch in batches:
-            for anchor, own, data in zip(batch.column("anchor").to_numpy(), batch.column("own").to_numpy(), batch.column("data"), strict=True):
-                waiting.append(data.as_py())
-                keys.append((anchor, own))
-                counts.append(len(waiting[-1]) - LENGTH + 1)
-                windows += counts[-1]
-                if windows >= BATCH_WINDOWS:
-                    index.add(waiting)
-                    waiting, windows = [], 0
+    Windows meet only those of their own anchor, so the arrays begin anew between two anchors once they are large."""
+
+    def ranges() -> pa.RecordBatch:
         if waiting:
             index.add(waiting)
-        if not keys:
-            return
         first = np.concatenate([[0], np.cumsum(counts)])
         edge = np.zeros(len(index.twice) + 1, bool)
         edge[first] = True
@@ -222,9 +215,33 @@ def settled(contexts: DataFrame) -> DataFrame:
         high = np.flatnonzero(twice & (~after | edge[1:])) + 1
         owner = np.searchsorted(first, low, side="right") - 1
         found = [np.array([keys[k][0] for k in owner], np.int64), np.array([keys[k][1] for k in owner], np.int64), (low - first[owner]).astype(np.int32), (high - first[owner]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in found], names=["anchor", "own", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in found], names=["anchor", "own", "low", "high"])
+
+    index, keys, counts, waiting, windows = SuffixLevels(), [], [], [], 0
+    for anchor, own, data in contexts:
+        if keys and anchor != keys[-1][0] and len(index.twice) + windows >= INDEX_WINDOWS:
+            yield ranges()
+            index, keys, counts, waiting, windows = SuffixLevels(), [], [], [], 0
+        waiting.append(data)
+        keys.append((anchor, own))
+        counts.append(len(data) - LENGTH + 1)
+        windows += counts[-1]
+        if windows >= BATCH_WINDOWS:
+            index.add(waiting)
+            waiting, windows = [], 0
+    if keys:
+        yield ranges()
 
-    return contexts.select("anchor", "own", "data").mapInArrow(settle, "anchor long, own long, low int, high int")
+
+def settled(contexts: DataFrame) -> DataFrame:
+    """Of different stretches (anchor, own, data), dealt out by anchor: ranges of window numbers that occur twice."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ((b.column("anchor").to_numpy(), b.column("own").to_numpy(), b.column("data")) for b in batches)
+        yield from twice_in((anchor, own, data.as_py()) for c in columns for anchor, own, data in zip(*c, strict=True))
+
+    together = contexts.select("anchor", "own", "data").sortWithinPartitions("anchor")
+    return together.mapInArrow(settle, "anchor long, own long, low int, high int")
 
 
 def counted(contexts: DataFrame) -> DataFrame:
@@ -242,6 +259,27 @@ def counted(contexts: DataFrame) -> DataFrame:
     return windows.join(twice, ["anchor", "name"], "left_semi").select("anchor", "own", "low", (F.col("low") + 1).alias("high"))
 
 
+def stretch_bytes(rows) -> Iterator[pa.RecordBatch]:
+    """anchor, own and data of the stretches that are wanted of each (text, wanted). Stretches overlap, so that their
+    bytes are several times the texts'; batches have OUT_BYTES and a stretch at most."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(owns, pa.int64()), pa.array(parts, pa.binary())], names=["anchor", "own", "data"])
+
+    anchors, owns, parts, size = [], [], [], 0
+    for text, wanted in rows:
+        data = text.as_py().encode()
+        for anchor, own, start, n in zip(*(wanted.values.field(x).to_numpy() for x in ("anchor", "own", "start", "n")), strict=True):
+            anchors.append(anchor)
+            owns.append(own)
+            parts.append(data[start : start + n + LENGTH - 1])
+            size += len(parts[-1])
+            if size >= OUT_BYTES:
+                yield batch()
+                anchors, owns, parts, size = [], [], [], 0
+    yield batch()
+
+
 def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """row and the array of its repeats' (from, to) in bytes, of (row, text); they may overlap."""
     every = scratch.keep(listed(rows), "stretches")
@@ -256,14 +294,7 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, owns, parts = [], [], []
-            for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-                data = text.as_py().encode()
-                for w in wanted.as_py():
-                    anchors.append(w["anchor"])
-                    owns.append(w["own"])
-                    parts.append(data[w["start"] : w["start"] + w["n"] + LENGTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(owns, pa.int64()), pa.array(parts, pa.binary())], names=["anchor", "own", "data"])
+            yield from stretch_bytes(zip(batch.column("text"), batch.column("wanted"), strict=True))
 
     wanted = copies.groupBy("row").agg(F.collect_list(F.struct("anchor", "own", "start", "n")).alias("wanted"))
     contexts = rows.join(wanted, "row").select("text", "wanted").mapInArrow(cut, "anchor long, own long, data binary")
@@ -291,6 +322,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def without(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, text, spans): digests and the bytes that are kept; batches have OUT_BYTES and a text at most."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    out, size, done = [], 0, 0
+    for k, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans"), strict=True), 1):
+        data, at, kept = text.as_py().encode(), 0, []
+        runs = merged([(s["from"], s["to"]) for s in spans.as_py() or ()])
+        for a, b in runs:
+            kept.append(data[at:a])
+            at = b
+        rest = b"".join([*kept, data[at:]])
+        out.append((len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
+        size += len(rest)
+        if size >= OUT_BYTES or k == len(batch):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(out)), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out, size, done = [], 0, k
+
+
 def without_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes that are kept, of every document."""
     ship(docs.sparkSession)
@@ -301,17 +350,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                data, at, kept = text.as_py().encode(), 0, []
-                runs = merged([(s["from"], s["to"]) for s in spans.as_py() or ()])
-                for a, b in runs:
-                    kept.append(data[at:a])
-                    at = b
-                rest = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield from without(batch)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -147,6 +148,50 @@ def test_suffix_levels():
     assert index.twice.sum() == 122
 
 
+def test_suffix_index_bounded(monkeypatch):
+    """A task's arrays begin anew between anchors, however many it gets, and find what brute force finds."""
+    monkeypatch.setattr(suffix_dedup, "BATCH_WINDOWS", 500)
+    monkeypatch.setattr(suffix_dedup, "INDEX_WINDOWS", 2000)
+    largest, add = [0], suffix_dedup.SuffixLevels.add
+
+    def measured(self, batch):
+        add(self, batch)
+        largest[0] = max(largest[0], len(self.twice))
+
+    monkeypatch.setattr(suffix_dedup.SuffixLevels, "add", measured)
+    r, rows = random.Random(4), []
+    for anchor in range(60):
+        base = bytes(r.randrange(256) for _ in range(300))
+        rows += [(anchor, 10 * anchor + k, base[: r.randint(200, 300)] + bytes([k])) for k in range(r.randint(1, 4))]
+    got = {(x["anchor"], x["own"], w) for b in suffix_dedup.twice_in(iter(rows)) for x in b.to_pylist() for w in range(x["low"], x["high"])}
+    windows = [(a, o, w, d[w : w + 200]) for a, o, d in rows for w in range(len(d) - 199)]
+    seen = Counter((a, s) for a, _, _, s in windows)
+    assert got and got == {(a, o, w) for a, o, w, s in windows if seen[a, s] > 1}
+    assert len(windows) > 3 * largest[0] and largest[0] <= 2000 + 500 + 4 * 102
+
+
+def test_suffix_batches_bounded(monkeypatch):
+    """Long texts are scanned in small pieces; what goes back to Spark is in small batches, though stretches overlap."""
+    r = random.Random(6)
+    data = bytes(r.randrange(32, 127) for _ in range(3 * suffix_dedup.CHUNK))
+    parts = list(suffix_dedup.pieces([(0, data)]))
+    assert max(len(d) for _, d in parts) <= 2 * suffix_dedup.CHUNK
+    assert sum(len(d) - 199 * len(where) for where, d in parts) == len(data) - 199
+    monkeypatch.setattr(suffix_dedup, "OUT_BYTES", 5000)
+    text = data[:20_000].decode()
+    wanted = [{"anchor": k, "own": -k, "start": 50 * k, "n": 50} for k in range(300)]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("own", pa.int64()), ("start", pa.int64()), ("n", pa.int32())]))
+    rows = zip(pa.array([text, text]), pa.array([wanted[:10], wanted], kind), strict=True)
+    batches = list(suffix_dedup.stretch_bytes(rows))
+    assert max(sum(map(len, b.column("data").to_pylist())) for b in batches) < 5000 + 249
+    assert [x["data"] for b in batches for x in b.to_pylist()] == [text[50 * k : 50 * k + 249].encode() for k in [*range(10), *range(300)]]
+    spans = pa.array([None, [{"from": 0, "to": 100}, {"from": 50, "to": 300}], [], None, []], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 4, None, 2, 1]), pa.array([text[:3000]] * 4 + [""]), spans], names=["doc_id", "text", "spans"])
+    out = list(suffix_dedup.without(batch))
+    assert [len(b) for b in out] == [2, 2, 1]
+    assert [(x["doc_id"], x["n_removed"], x["n_spans"], len(x["kept"])) for b in out for x in b.to_pylist()] == [(5, 0, 0, 3000), (4, 300, 1, 2700), (None, 0, 0, 3000), (2, 0, 0, 3000), (1, 0, 0, 0)]
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------
 
 
