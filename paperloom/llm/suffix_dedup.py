@@ -13,7 +13,8 @@ with one anchor, a *stretch*, are all that has to meet: stretches meet by their
    are, then becomes a level, and levels of like size merge, as in the logarithmic method. Arrays are sorted by
    Karp-Miller-Rosenberg names of the windows' 200 bytes, which are formed by doubling and have one meaning in every
    batch; that order, unlike the alphabet's, can be compared across batches without the texts, and equal windows are
-   neighbours in it all the same. Neighbours are compared byte by byte before they count.
+   neighbours in it all the same. Neighbours are compared byte by byte before they count. Windows of different anchors
+   never meet, so from ``INDEX_WINDOWS`` on the arrays begin anew with the next anchor.
 3. An anchor with more than ``HOT_STRETCHES`` different stretches doesn't go to one task: its windows' names are counted
    with partial sums instead.
 4. The repeats come back to their documents, where overlapping ones are joined and cut out.
