@@ -143,12 +143,14 @@ def listed(rows: DataFrame) -> DataFrame:
 
 
 class SuffixLevels:
-    """Suffix arrays of geometrically growing size over the windows of stretches, and which windows occur twice."""
+    """Suffix arrays of geometrically growing size over the windows of stretches, and which windows occur twice.
+
+    Numbers have 32 bits: there are INDEX_WINDOWS, a batch and the windows of HOT_STRETCHES at most."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # names in order, and the windows' numbers
         self.data = bytearray()
-        self.place = np.empty(0, np.int64)  # of each window in data
+        self.place = np.empty(0, np.int32)  # of each window in data
         self.twice = np.empty(0, bool)
 
     def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,11 +180,11 @@ class SuffixLevels:
         local = np.repeat(begin - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
         name = names(flat)[1][local]
         base = len(self.place)
-        self.place = np.append(self.place, local + len(self.data))
+        self.place = np.append(self.place, (local + len(self.data)).astype(np.int32))
         self.twice = np.append(self.twice, np.zeros(len(local), bool))
         self.data += flat.tobytes()
         order = np.argsort(name, kind="stable")
-        new = (name[order], order + base)
+        new = (name[order], (order + base).astype(np.int32))
         self._neighbours(new)
         for level in self.levels:
             at = np.searchsorted(level[0], new[0])
@@ -192,10 +194,15 @@ class SuffixLevels:
             self.twice[a[good]] = self.twice[b[good]] = True
         self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (x, i), (y, j) = self.levels.pop(), self.levels.pop()
+            (x, i), (y, j) = new, self.levels[-2]
+            del self.levels[-2:]
             both, numbers = np.concatenate([y, x]), np.concatenate([j, i])
+            del x, y, i, j, new
             merged = np.argsort(both, kind="stable")
-            self.levels.append((both[merged], numbers[merged]))
+            both = both[merged]
+            new = both, numbers[merged]
+            del both, numbers, merged
+            self.levels.append(new)
 
 
 def twice_in(contexts: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
